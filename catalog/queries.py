@@ -58,6 +58,11 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
     return standard_product_id(daily(spark, sf))
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel as a written table, for queries that read it more than once."""
+    return materialize(keyed(spark, sf))
+
+
 def train_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(DATE) <= F.lit(SETTINGS.train_end))
 
@@ -79,7 +84,7 @@ def straight_lines(df: DataFrame) -> demand.Scorer:
 
 
 def results(spark: SparkSession, sf: str, **options) -> DataFrame:
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     rows = test_rows(df).withColumn("price", F.col("avg_price"))
     return evaluation_plan.policy_results(
         rows, train_rows(df), registry.product_constants(df, PRODUCT_ID), straight_lines(df), SETTINGS, **options)
@@ -245,15 +250,15 @@ def standard_scaler_stats(spark, sf):
 @query
 def robust_scaler_stats(spark, sf):
     train = splits.as_float32(feature_splits(spark, sf).where("split = 'train'"), FEATURES)
-    stored = materialize(train.select(*FEATURES))
-    return scaling.fit_scalers(stored, FEATURES, "robust").select(
+    values = materialize(train.select(*FEATURES))
+    return scaling.fit_scalers(values, FEATURES, "robust").select(
         "column", "kind", rounded("center", 4), rounded("scale", 4))
 
 
 def scaled_splits(spark: SparkSession, sf: str, warmup: str) -> DataFrame:
-    stored = materialize(feature_splits(spark, sf))
-    train = splits.as_float32(stored.where("split = 'train'"), FEATURES)
-    return preparation.scaled_split(stored, scaling.fit_scalers(train, FEATURES), FEATURES, warmup)
+    rows = materialize(feature_splits(spark, sf))
+    train = splits.as_float32(rows.where("split = 'train'"), FEATURES)
+    return preparation.scaled_split(rows, scaling.fit_scalers(train, FEATURES), FEATURES, warmup)
 
 
 @query
@@ -271,11 +276,11 @@ def scaled_panel_without_warmup(spark, sf):
 @query
 def prepared_top_products(spark, sf):
     """Best sellers only, all the way to scaled columns."""
-    df = daily(spark, sf)
+    df = materialize(daily(spark, sf))
     top = panel.keep_products(df, panel.top_products(df, 20, "month"))
-    stored = materialize(preparation.split_features(top, SETTINGS))
-    train = splits.as_float32(stored.where("split = 'train'"), FEATURES)
-    scaled = preparation.scaled_split(stored, scaling.fit_scalers(train, FEATURES), FEATURES, "mean")
+    rows = materialize(preparation.split_features(top, SETTINGS))
+    train = splits.as_float32(rows.where("split = 'train'"), FEATURES)
+    scaled = preparation.scaled_split(rows, scaling.fit_scalers(train, FEATURES), FEATURES, "mean")
     return scaled.select("split", DATE, PRODUCT_ID, TARGET, *[rounded(c, 3) for c in FEATURES])
 
 
@@ -297,7 +302,7 @@ def product_registry(spark, sf):
 
 @query
 def dense_product_rows(spark, sf):
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     dense = registry.to_dense(df, registry.dense_ids(df))
     return dense.groupBy("dense_id").agg(F.count(F.lit(1)).alias("n_days"), F.sum(TARGET).alias("total_units"))
 
@@ -341,7 +346,7 @@ def price_lines(spark, sf):
 
 
 def predictions(spark: SparkSession, sf: str, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     scorer = straight_lines(df)
     return scorer.predict(scorer.prepare(rows(df)), {"avg_price": "prediction"})
 
@@ -385,8 +390,8 @@ def simulated_demand(spark, sf):
 
 @query
 def median_rule(spark, sf):
-    df = daily(spark, sf)
-    median = registry.global_median_price(materialize(train_rows(df).select("avg_price"))).scalar()
+    df = materialize(daily(spark, sf))
+    median = registry.global_median_price(train_rows(df)).scalar()
     rows = test_rows(df).withColumn("median", median)
     multiplier = pricing.median_multiplier(F.col("avg_price"), F.col("median"))
     return rows.select(DATE, PRODUCT, rounded(multiplier, 6, "price_multiplier"))
@@ -419,14 +424,14 @@ def candidate_prices(spark, sf):
 
 @query
 def counterfactual_profit(spark, sf):
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     grid = pricing.counterfactual(priced(df), straight_lines(df), SETTINGS.multipliers)
     return grid.select(DATE, PRODUCT_ID, "action_index", "units", rounded("revenue", 2), rounded("profit", 2))
 
 
 @query
 def best_multiplier(spark, sf):
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     scorer = straight_lines(df)
     best = pricing.best_multiplier(scorer.prepare(priced(df)), scorer, SETTINGS.multipliers)
     return best.select(DATE, PRODUCT_ID, "best_multiplier", rounded("best_profit", 2))
@@ -434,7 +439,7 @@ def best_multiplier(spark, sf):
 
 @query
 def best_revenue_on_grid(spark, sf):
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     scorer = straight_lines(df)
     grid = pricing.action_grid(SETTINGS.action_low, SETTINGS.action_high, 9)
     best = pricing.best_multiplier(scorer.prepare(priced(df)), scorer, grid, measure="revenue")
@@ -463,7 +468,7 @@ def horizon_rows(spark, sf):
 
 @query
 def aligned_by_position(spark, sf):
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     return episodes.align_rows(test_rows(df), df).select(PRODUCT_ID, DATE, rounded("avg_price", 6), rounded("raw_price", 6))
 
 
@@ -497,7 +502,7 @@ def noisy_policy_backtest(spark, sf):
 @query
 def raw_price_backtest(spark, sf):
     """Base price from the raw panel at the same position, cost at 0.7 of the median."""
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     aligned = episodes.align_rows(priced(df), df).withColumn("price", F.col("raw_price")) \
         .withColumn("unit_cost", pricing.unit_cost(F.col("median_price"), 0.7))
     policies = {pricing.HISTORICAL: pricing.historical_multiplier(), "Discount": F.lit(0.93)}
@@ -508,7 +513,7 @@ def raw_price_backtest(spark, sf):
 @query
 def continuous_action_backtest(spark, sf):
     """The policy's own multiplier is applied, not the nearest listed one."""
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     policies = {pricing.HISTORICAL: pricing.historical_multiplier(), "Discount": F.lit(0.93)}
     return _log(backtest.evaluate_policies(priced(df), policies, straight_lines(df), None, SETTINGS.horizon))
 
@@ -522,13 +527,14 @@ def _kpi_columns() -> list[Column]:
 
 @query
 def policy_kpis(spark, sf):
-    return kpi.compute_kpis(results(spark, sf)).select(*_kpi_columns())
+    return kpi.compute_kpis(materialize(results(spark, sf))).select(*_kpi_columns())
 
 
 @query
 def bootstrap_replicates(spark, sf):
-    blocks = materialize(kpi.product_blocks(results(spark, sf)))
-    return kpi.bootstrap_replicates(blocks, 100, SEED).select("replicate", *_kpi_columns())
+    log = materialize(results(spark, sf))
+    parts = materialize(kpi.product_parts(log))
+    return kpi.bootstrap_replicates(log, parts, 100, SEED).select("replicate", *_kpi_columns())
 
 
 def _bounds() -> list[Column]:
@@ -537,13 +543,13 @@ def _bounds() -> list[Column]:
 
 @query
 def bootstrap_ci(spark, sf):
-    return kpi.bootstrap_intervals(results(spark, sf), SETTINGS.bootstraps, SETTINGS.ci_level, SEED).select(
+    return kpi.bootstrap_intervals(materialize(results(spark, sf)), SETTINGS.bootstraps, SETTINGS.ci_level, SEED).select(
         "policy", *_bounds())
 
 
 @query
 def policy_report(spark, sf):
-    report = kpi.kpi_report(results(spark, sf), 200, SETTINGS.ci_level, SEED)
+    report = kpi.kpi_report(materialize(results(spark, sf)), 200, SETTINGS.ci_level, SEED)
     return report.select(*_kpi_columns(), *_bounds())
 
 
@@ -556,7 +562,7 @@ def price_step_volatility(spark, sf):
 
 
 def _baseline(spark: SparkSession, sf: str, align: str) -> DataFrame:
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     rows = test_rows(df).withColumn("price", F.col("avg_price"))
     return evaluation.historical_baseline(rows, df, straight_lines(df), SETTINGS.horizon, align=align).select(
         PRODUCT_ID, rounded("historical_profit", 2), rounded("historical_volatility", 5))
@@ -573,7 +579,7 @@ def historical_baseline_by_date(spark, sf):
 
 
 def evaluated_products(spark: SparkSession, sf: str, episode_count: int, noise_std: float) -> DataFrame:
-    df = keyed(spark, sf)
+    df = stored(spark, sf)
     rows = test_rows(df).withColumn("price", F.col("avg_price"))
     return evaluation.product_evaluation(
         rows, df, registry.product_constants(df, PRODUCT_ID), straight_lines(df), SETTINGS, episode_count, noise_std)
@@ -615,10 +621,10 @@ def sales_improvement(spark, sf):
 
 def boosted(spark: SparkSession, sf: str):
     """Scaled rows, scaler table and a model trained on the training split."""
-    stored = materialize(feature_splits(spark, sf))
-    train = splits.as_float32(stored.where("split = 'train'"), FEATURES)
+    rows = materialize(feature_splits(spark, sf))
+    train = splits.as_float32(rows.where("split = 'train'"), FEATURES)
     stats = materialize(scaling.fit_scalers(train, FEATURES))
-    scaled = materialize(preparation.scaled_split(stored, stats, FEATURES))
+    scaled = materialize(preparation.scaled_split(rows, stats, FEATURES))
     model = demand.train_demand_model(scaled.where("split = 'train'"), n_trees=TREES, settings=replace(
         SETTINGS, learning_rate=0.1))
     return scaled, stats, model

@@ -9,26 +9,53 @@ the sketch says: a bracket that misses its rank is replaced by the full range.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import types as T
+
+from ..functions.numeric import nan_to_null
 
 ACCURACY = 10_000  # the sketch's rank error is at most n / ACCURACY
 _MARGIN = 3 / ACCURACY
 
+QUANTILES = T.StructType([
+    T.StructField("column", T.StringType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("quantiles", T.ArrayType(T.DoubleType())),
+])
+
+BRACKETS = T.StructType([
+    T.StructField("column", T.StringType()),
+    T.StructField("p", T.IntegerType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("position", T.DoubleType()),
+    T.StructField("below", T.LongType()),
+    T.StructField("low", T.DoubleType()),
+    T.StructField("high", T.DoubleType()),
+])
+
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """One row per column: ``column``, ``n`` and ``quantiles`` (linear interpolation between ranks).
 
-    Missing values (NULL or NaN) are ignored. ``df`` is read three times, so pass a stored table.
-    The bracket tables have one row per listed column and probability, which is why they are
-    broadcast.
+    Missing values (NULL or NaN) are ignored; a column without values has no row. ``df`` is read
+    three times, so pass a stored table. The first two passes each bring one row of statistics back
+    to the driver, which makes the last pass a plain comparison with constants.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    values = df.select(F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    brackets = F.broadcast(_brackets(values, probabilities))
-    counts = F.broadcast(_counted(values, brackets))
+    values = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    brackets = _brackets(values, columns, probabilities)
+    if not brackets:
+        return df.sparkSession.createDataFrame([], QUANTILES)
+    brackets = _checked(values, brackets)
 
-    inside = values.join(counts, "column").where(F.col("value").between(F.col("low"), F.col("high")))
-    ties = inside.groupBy("column", "p", "n", "position", "below", "value").count()
+    held = [(F.col(b["column"]) >= b["low"]) & (F.col(b["column"]) <= b["high"]) for b in brackets]
+    wanted = df.sparkSession.createDataFrame([tuple(b[f] for f in BRACKETS.fieldNames()) for b in brackets], BRACKETS)
+    # One row per listed column and probability, hence the broadcast.
+    near = values.where(reduce(lambda a, b: a | b, held)).unpivot([], columns, "column", "value")
+    ties = near.join(F.broadcast(wanted), "column").where("value >= low AND value <= high") \
+        .groupBy("column", "p", "n", "position", "below", "value").count()
     by_value = Window.partitionBy("column", "p").orderBy("value")
     ranked = ties.withColumn("end", F.col("below") + F.sum("count").over(by_value)) \
                  .withColumn("start", F.col("end") - F.col("count"))
@@ -44,29 +71,36 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                     lambda r: r["value"]).alias("quantiles"))
 
 
-def _brackets(values: DataFrame, probabilities: list[float]) -> DataFrame:
-    """Per column and probability: the wanted fractional rank and a range that should hold it."""
+def _one_row(df: DataFrame, columns: list[Column]) -> Row:
+    return df.agg(*columns).first()
+
+
+def _brackets(values: DataFrame, columns: list[str], probabilities: list[float]) -> list[dict]:
+    """For every column and probability the wanted fractional rank and a range that should hold it."""
     edges = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-_MARGIN, _MARGIN)]
-    sketch = values.groupBy("column").agg(
-        F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.percentile_approx("value", edges, ACCURACY).alias("cuts"))
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("p"), ((F.col("n") - 1) * F.lit(float(p))).alias("position"),
-                 (F.col("least") if p <= _MARGIN else F.col("cuts")[2 * i]).alias("low"),
-                 (F.col("most") if p >= 1 - _MARGIN else F.col("cuts")[2 * i + 1]).alias("high"))
-        for i, p in enumerate(probabilities)])
-    return sketch.select("column", "n", "least", "most", F.inline(wanted))
-
-
-def _counted(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    row = _one_row(values, [
+        F.struct(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"),
+                 F.percentile_approx(c, edges, ACCURACY).alias("cuts")).alias(c)
+        for c in columns])
+    brackets = []
+    for c in columns:
+        s = row[c]
+        for i, p in enumerate(probabilities if s["n"] else []):
+            brackets.append({
+                "column": c, "p": i, "n": s["n"], "position": (s["n"] - 1) * float(p),
+                "least": s["least"], "most": s["most"],
+                "low": s["least"] if p <= _MARGIN else s["cuts"][2 * i],
+                "high": s["most"] if p >= 1 - _MARGIN else s["cuts"][2 * i + 1]})
+    return brackets
+
+
+def _checked(values: DataFrame, brackets: list[dict]) -> list[dict]:
     """Brackets with the number of values below them; the full range where a rank is not inside."""
-    value = F.col("value")
-    keys = ["column", "p", "n", "position", "least", "most", "low", "high"]
-    counted = values.join(brackets, "column").groupBy(*keys).agg(
-        F.count_if(value < F.col("low")).alias("below"), F.count_if(value <= F.col("high")).alias("upto"))
-    holds = (F.col("below") <= F.floor("position")) & (F.ceil("position") < F.col("upto"))
-    return counted.select(
-        "column", "p", "n", "position",
-        F.when(holds, F.col("low")).otherwise(F.col("least")).alias("low"),
-        F.when(holds, F.col("high")).otherwise(F.col("most")).alias("high"),
-        F.when(holds, F.col("below")).otherwise(F.lit(0)).cast("long").alias("below"))
+    tests = [F.col(b["column"]) < b["low"] for b in brackets] + [F.col(b["column"]) <= b["high"] for b in brackets]
+    counts = _one_row(values, [F.count(F.when(t, 1)).alias(str(i)) for i, t in enumerate(tests)])
+    checked = []
+    for b, below, upto in zip(brackets, counts, counts[len(brackets):]):
+        holds = below <= math.floor(b["position"]) and math.ceil(b["position"]) < upto
+        checked.append({**b, "below": below} if holds else
+                       {**b, "below": 0, "low": b["least"], "high": b["most"]})
+    return checked

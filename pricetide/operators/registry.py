@@ -20,8 +20,10 @@ def dense_ids(df: DataFrame, column: str = PRODUCT_ID) -> DataFrame:
     ids = df.select(column).where(F.col(column).isNotNull()).distinct()
     sample = ids.orderBy(F.xxhash64(column), column).limit(PIVOTS)
     pivots = sample.agg(F.sort_array(F.collect_list(column)).alias("pivots")).scalar()
-    bucketed = ids.select(column, pivots.alias("pivots")).select(
-        column, F.size(F.filter("pivots", lambda p: p < F.col(column))).alias("bucket"))
+    # coalesce makes the bucket non-null; the join would otherwise infer a null check on it and push
+    # that, with the pivot search, below the distinct.
+    bucket = F.coalesce(F.size(F.filter("pivots", lambda p: p < F.col(column))), F.lit(0))
+    bucketed = ids.select(column, pivots.alias("pivots")).select(column, bucket.alias("bucket"))
     # At most PIVOTS + 1 rows from here to the offsets.
     sizes = bucketed.groupBy("bucket").count()
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
