@@ -19,7 +19,7 @@ from ..config import DATE, FEATURES, PRODUCT_ID, TARGET, Settings
 from ..functions.noise import hash_normal
 from ..functions.numeric import non_negative, standardise, unstandardise
 from ..sources.tables import feature_names
-from .scaling import scaler_row
+from .scaling import scaler_values
 
 CATEGORY_PREFIX = "PROD_CATEGORY_DEP_"
 
@@ -78,22 +78,18 @@ def tree_scorer(model: PipelineModel, scaler_stats: DataFrame, price: str = "avg
     """
     features = feature_names(model)
     trees = model.stages[-1]
-
-    def prepare(df: DataFrame) -> DataFrame:
-        row = scaler_row(scaler_stats, [price])
-        return model_inputs(df, features).withColumn("_price_scaler", row)
+    center, scale = scaler_values(scaler_stats, [price])[price]
 
     def score(df: DataFrame, prices: dict[str, str]) -> DataFrame:
-        s = F.col("_price_scaler")[price]
         for column, output in prices.items():
-            df = df.withColumn("_scaled", standardise(F.col(column), s["center"], s["scale"]))
+            df = df.withColumn("_scaled", standardise(F.col(column), center, scale))
             inputs = ["_scaled" if c == price else c for c in features]
             df = VectorAssembler(inputCols=inputs, outputCol="_vector").transform(df)
             df = trees.transform(df, {trees.featuresCol: "_vector", trees.predictionCol: output})
             df = df.drop("_vector", "_scaled")
         return df
 
-    return Scorer(prepare, score)
+    return Scorer(lambda df: model_inputs(df, features), score)
 
 
 # --- straight lines ----------------------------------------------------------------------------
@@ -122,16 +118,16 @@ def line_scorer(lines: DataFrame, product: str = PRODUCT_ID) -> Scorer:
 def unscale_units(scorer: Scorer, scaler_stats: DataFrame, units: str = TARGET) -> Scorer:
     """For a model trained on scaled units: bring predictions back to units, where the statistics
     hold the units column."""
-    def prepare(df: DataFrame) -> DataFrame:
-        return scorer.prepare(df).withColumn("_units_scaler", scaler_row(scaler_stats, [units]))
+    known = scaler_values(scaler_stats, [units])
+    if units not in known:
+        return scorer
+    center, scale = known[units]
 
     def score(df: DataFrame, prices: dict[str, str]) -> DataFrame:
-        s = F.col("_units_scaler")[units]
-        return scorer.predict(df, prices).withColumns({
-            c: F.when(s.isNull(), F.col(c)).otherwise(unstandardise(F.col(c), s["center"], s["scale"]))
-            for c in prices.values()})
+        return scorer.predict(df, prices).withColumns(
+            {c: unstandardise(F.col(c), center, scale) for c in prices.values()})
 
-    return Scorer(prepare, score)
+    return Scorer(scorer.prepare, score)
 
 
 def demand_noise(std: float, seed: int, *keys: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Column scalers: statistics as a table, applied as one-row expressions."""
+"""Column scalers: statistics as a table, applied as constants."""
 
 from __future__ import annotations
 
@@ -44,26 +44,20 @@ def _scale(spread: Column) -> Column:
     return F.when(spread == 0, 1.0).otherwise(spread)
 
 
-def scaler_row(stats: DataFrame, columns: list[str]) -> Column:
-    """All statistics as one struct, ``{column: {center, scale}}``, to put beside every row.
+def scaler_values(stats: DataFrame, columns: list[str]) -> dict[str, tuple[Column, Column]]:
+    """Center and scale of the listed columns as constants.
 
-    The statistics table has one row per column, so this is one row by construction; a column
-    without statistics gets NULL.
+    The statistics have one row per column, so this reads a few numbers to the driver; as constants
+    they leave nothing to join and keep scaling inside generated code. A column without statistics
+    is not in the result.
     """
-    one = stats.agg(F.struct(*[
-        F.max(F.when(F.col("column") == c, F.struct("center", "scale"))).alias(c) for c in columns
-    ]).alias("scalers"))
-    return one.scalar()
+    rows = stats.where(F.col("column").isin(columns)).select("column", "center", "scale").collect()
+    return {r["column"]: tuple(F.lit(r[part]).cast("double") for part in ("center", "scale")) for r in rows}
 
 
 def apply_scalers(df: DataFrame, stats: DataFrame, columns: list[str], inverse: bool = False) -> DataFrame:
     """Scale (or unscale) columns in place; a column without statistics is left as it is."""
     step = unstandardise if inverse else standardise
-    s = F.col("_scalers")
-
-    def scaled(c: str) -> Column:
-        value = F.col(c).cast("double")
-        return F.when(s[c].isNull(), value).otherwise(step(value, s[c]["center"], s[c]["scale"]))
-
-    return df.withColumn("_scalers", scaler_row(stats, columns)) \
-             .withColumns({c: scaled(c) for c in columns}).drop("_scalers")
+    return df.withColumns({
+        c: step(F.col(c).cast("double"), center, scale)
+        for c, (center, scale) in scaler_values(stats, columns).items()})

@@ -18,7 +18,7 @@ from ..operators.panel import first_products
 from ..operators.pricing import (BEST, HISTORICAL, RULE_MEDIAN, best_multiplier, historical_multiplier,
                                  median_multiplier, unit_cost)
 from ..operators.registry import global_median_price, product_constants
-from ..operators.scaling import scaler_row
+from ..operators.scaling import scaler_values
 from ..operators.splits import zero_nan
 from ..schemas import standard_product_id
 from ..sources import tables
@@ -54,10 +54,8 @@ def calibrate_noise(spark: SparkSession, data_dir: str, model_path: str) -> Data
 def priced_rows(scaled: DataFrame, stats: DataFrame) -> DataFrame:
     """Scaled rows with the unscaled ``price`` beside them; missing features count as 0."""
     rows = zero_nan(standard_product_id(scaled))
-    s = F.col("_scalers")["avg_price"]
-    return rows.withColumn("_scalers", scaler_row(stats, ["avg_price"])) \
-        .withColumn("price", unstandardise(F.col("avg_price").cast("double"), s["center"], s["scale"])) \
-        .drop("_scalers")
+    center, scale = scaler_values(stats, ["avg_price"])["avg_price"]
+    return rows.withColumn("price", unstandardise(F.col("avg_price").cast("double"), center, scale))
 
 
 def standard_policies(global_median: Column) -> dict[str, Column]:

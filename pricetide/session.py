@@ -18,6 +18,9 @@ def build_session(app_name: str = "pricetide", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Joins on (product, date) reuse the partitioning by product that the windows made; a product
+        # has at most one row per calendar day there.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         # Call sites of single Column calls are not recorded: plans here have hundreds of them.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
