@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,25 +30,47 @@ def build_session(app_name: str = "pricetide", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only on a local master that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pricetide-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+#: What `materialize` has made in this process and `release` has not removed yet: (session, table, path or None).
+_MADE: list[tuple[SparkSession, DataFrame, str | None]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once under the shared folder and read it back.
+    """Compute ``df`` once and give a table that reads the stored rows.
 
-    A written table (rather than ``checkpoint()``) keeps column pruning, filter pushdown and file
-    splits for the passes that follow, and survives the loss of any executor.
+    With a shared folder named in ``spark.checkpoint.dir`` the rows are written there as parquet and read back:
+    unlike ``checkpoint()`` that keeps column pruning, filter pushdown and file splits for the passes that
+    follow, cuts the lineage and survives the loss of any executor. Without one the rows stay on the executors'
+    disks (``persist``) with their lineage, so a lost part is computed again. `release` removes both kinds; the
+    files also go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/pricetide/{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        stored = df.persist(StorageLevel.DISK_ONLY)
+        _MADE.append((spark, stored, None))
+        return stored
+    path = f"{folder.rstrip('/')}/pricetide/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _MADE.append((spark, stored, path))
+    return stored
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table that `materialize` has stored for ``spark``; call it once results have been read."""
+    for made in [m for m in _MADE if m[0] is spark]:
+        _MADE.remove(made)
+        _, stored, path = made
+        if path is None:
+            stored.unpersist()
+        else:
+            files, where = _files(spark, path)
+            files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """The store that holds ``path`` and the path as that store's API takes it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
