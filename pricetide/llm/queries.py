@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import exact_dedup, quality_rules
+from pricetide.llm import bpe, exact_dedup, packing, quality_rules, sharding, token_files
 from pricetide.llm.common import documents, materialize
 
 
@@ -13,10 +14,37 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "group_size")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *codec)
+    return bpe.decode(encoded, *codec).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat token files that Spark makes from all documents, then counted from the files alone."""
+    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"),
+                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    end_of_document = 50256
+    files = materialize(token_files.write_blocks(encoded, end_of_document))
+    return token_files.named(token_files.count_tokens(files, end_of_document), files)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(quality_rules.with_statistics(documents(spark, sf_dir), keep=["doc_id"]))
     rules = quality_rules.learn_rules(*quality_rules.labelled_sample(found, _labels(spark, sf_dir)))
@@ -25,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"))
 
 
-QUERIES = {q.__name__: q for q in (op2_exact_dedup, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_exact_dedup, op3_bpe, op4_packing, op8_token_counts, op10_quality_rules)}
 
 ORACLE = {
     "op2_exact_dedup": """
