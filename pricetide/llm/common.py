@@ -15,7 +15,7 @@ from pricetide.session import materialize
 __all__ = ["documents", "free_name", "map_arrow", "materialize", "numbered", "salt", "ship"]
 
 #: Rows that one numbering bucket holds on average; a bucket is sorted in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

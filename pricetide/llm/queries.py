@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import bpe, exact_dedup, packing, quality_rules, sharding, token_files
+from pricetide.llm import (
+    bpe, exact_dedup, html_text, packing, quality_net, quality_rules, sharding, shingle_join, token_files, toxicity,
+)
 from pricetide.llm.common import documents, materialize
 
 
@@ -36,6 +38,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _scored(docs: DataFrame, model, parts: int, part: int) -> DataFrame:
+    return toxicity.with_score(docs, model, keep=["doc_id"]).select(
+        "doc_id", toxicity.held_out("doc_id", parts, part).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(docs, toxicity.train(docs, _labels(spark, sf_dir)), 5, 0)
+
+
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat token files that Spark makes from all documents, then counted from the files alone."""
     encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"),
@@ -45,6 +66,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.named(token_files.count_tokens(files, end_of_document), files)
 
 
+def op9_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(docs, quality_net.train(docs, _labels(spark, sf_dir)), 3, 1)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(quality_rules.with_statistics(documents(spark, sf_dir), keep=["doc_id"]))
     rules = quality_rules.learn_rules(*quality_rules.labelled_sample(found, _labels(spark, sf_dir)))
@@ -53,7 +79,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"))
 
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_exact_dedup, op3_bpe, op4_packing, op8_token_counts, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (
+    op1_sharding, op2_exact_dedup, op3_bpe, op4_packing, op5_html_text, op6_toxicity, op7_shingle_join,
+    op8_token_counts, op9_quality_net, op10_quality_rules)}
 
 ORACLE = {
     "op2_exact_dedup": """
