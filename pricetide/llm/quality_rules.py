@@ -231,6 +231,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rules = learn_rules(*labelled_sample(
         with_statistics(docs.join(labels.select(id_col).distinct(), id_col, "left_semi"), text_col, keep=[id_col]),
         labels, id_col))
-    prefix = free_name(docs, "stat_")
+    prefix = "stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
     return with_statistics(docs, text_col, prefix).filter(~base_failed(prefix) & verdict(rules, prefix)).select(
         *docs.columns)

@@ -45,7 +45,7 @@ from pricetide.llm.textbuf import Words, mixed, shingles, slices
 WORDS = 5
 PERCENT = 75
 #: Classes in a list up to which pairs across components become rows.
-LIGHT = 32
+LIGHT = 8
 #: Classes in a block of a cluster.
 BLOCK = 256
 #: Lists whose centres a class meets at first.
@@ -83,8 +83,9 @@ def _signatures(words: int):
             for i, tokens in _sets(batch.column(1), words):
                 n[i] = len(tokens)
                 digest[i] = _digest(tokens) if len(tokens) else None
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest, pa.binary())],
-                                             names=["id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(digest, pa.binary())],
+                names=["id", "mark", "n", "digest"])
 
     return run
 
@@ -367,11 +368,11 @@ def heavy_links(listed: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("cluster", "low", "high").applyInPandas(_block_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, mark, n, component_id) of every row; ``mark`` is a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(map_arrow(texts, _signatures(words), f"id {kind}, n long, digest binary"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
+    rows = materialize(map_arrow(texts, _signatures(words), f"id {kind}, mark long, n long, digest binary"))
     classes = materialize(rows.filter("n > 0").groupBy("digest").agg(
         F.min("id").alias("first_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size")))
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -393,18 +394,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = rows.filter("n > 0")
     placed = some.join(F.broadcast(big), "digest").unionByName(
         some.join(F.broadcast(big), "digest", "left_anti").join(named, "digest"))
-    return placed.select("id", "n", "component_id").unionByName(
-        rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))).select(
+    return placed.select("id", "mark", "n", "component_id").unionByName(
+        rows.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    return _placed(docs, id_col, text_col, words).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; documents without words all stay."""
-    row_id, twice = free_name(docs, "row_id"), free_name(docs, "copy")
-    found = near_duplicates(docs, id_col, text_col, words)
-    stay = found.filter((F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(
-        F.max("n_shingles").alias(twice)).select(F.struct(F.col(id_col)).alias(row_id), twice)
-    # Rows that repeat an id and have words are copies of each other or of the row that stays.
-    marked = docs.withColumn(row_id, F.struct(F.col(id_col))).join(stay, row_id)
-    none, some = marked.filter(F.col(twice) == 0), marked.filter(F.col(twice) > 0)
-    return none.unionByName(some.dropDuplicates([row_id])).select(*docs.columns)
+    """``docs`` with one document of each component, that of the smallest id; documents without words all stay.
+
+    Of rows that repeat both id and text one stays.
+    """
+    row_id, mark, size = (free_name(docs, x) for x in ("row_id", "mark", "size"))
+    stay = _placed(docs, id_col, text_col, words).filter((F.col("n") == 0) | F.col("id").eqNullSafe(F.col("component_id")))
+    stay = stay.groupBy(F.struct(F.col("id").alias(id_col)).alias(row_id), F.col("mark").alias(mark)).agg(F.max("n").alias(size))
+    marked = docs.withColumns({row_id: F.struct(F.col(id_col)), mark: F.xxhash64(F.col(text_col).cast("string"))}).join(
+        stay, [row_id, mark])
+    none, some = marked.filter(F.col(size) == 0), marked.filter(F.col(size) > 0)
+    return none.unionByName(some.dropDuplicates([row_id, mark])).select(*docs.columns)
