@@ -193,106 +193,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
     return done.unionByName(parts.filter("k = 0").select("kept", "row").join(made, "row").select("kept.*", "ids"))
 
 
-def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
-
-def _encode_whole(path: str, pattern: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
-        for batch in batches:
-            ids = [codec.encode(codec.split(t or "")) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())],
-                                             names=[*batch.schema.names[:-1], "ids"])
-
-    return encode
-
-
-def _pretokenise(path: str, pattern: str, chunk: int, overlap: int):
-    """Adds the boundaries in the overlaps: ``head`` with the chunk before, ``tail`` (trusted) with the one after."""
-
-    def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
-        for batch in batches:
-            heads, tails = [], []
-            for k, text in zip(batch.column("k").to_pylist(), batch.column("part").to_pylist()):
-                ends = np.cumsum([0, *map(len, codec.split(text))])
-                trusted = ends[ends <= len(text) - MARGIN]
-                heads.append((ends[(ends > 0) & (ends < overlap)] + k * chunk).tolist())
-                tails.append((trusted[trusted > chunk] + k * chunk).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))],
-                names=[*batch.schema.names, "head", "tail"])
-
-    return pretokenise
-
-
-def _encode_pieces(path: str, pattern: str, chunk: int):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
-        for batch in batches:
-            made = []
-            for k, text, start, stop in zip(*(batch.column(c).to_pylist() for c in ("k", "part", "start", "stop"))):
-                pieces = codec.split(text, start - k * chunk)
-                if stop is not None:
-                    ends = np.cumsum(list(map(len, pieces)))
-                    pieces = pieces[:int(np.searchsorted(ends, stop - start)) + 1]
-                made.append(codec.encode(pieces))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(made, pa.binary())],
-                                             names=["row", "k", "ids"])
-
-    return encode
-
-
-def _join_ids(group):
-    group = group.sort_values("k")
-    return group.iloc[:1].assign(ids=b"".join(group["ids"]))[["row", "ids"]]
-
-
-def _join_text(group):
-    return group.iloc[:1].assign(text="".join(group.sort_values("k")["part"]))[["row", "text"]]
-
-
-def encode_long(parts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row, ids) of texts given as overlapping chunks: row, k, n, part."""
-    pre = materialize(map_arrow(parts.repartition("row", "k"), _pretokenise(path, pattern, chunk, overlap),
-                                "row long, k int, n int, part string, head array<long>, tail array<long>"))
-    in_order = Window.partitionBy("row").orderBy("k")
-    seams = pre.select("row", "k", "n", "head", "tail").withColumn("stop", F.array_min(
-        F.array_intersect("tail", F.lead("head").over(in_order)))).withColumn(
-        "start", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(F.lag("stop").over(in_order)))
-    seams = materialize(seams.select("row", "k", "n", "start", "stop"))
-    lost = seams.filter("k < n - 1 and stop is null").select("row").distinct()
-    pieces = pre.select("row", "k", "part").join(
-        seams.join(lost, "row", "left_anti").select("row", "k", "start", "stop"), ["row", "k"])
-    stitched = map_arrow(pieces, _encode_pieces(path, pattern, chunk), "row long, k int, ids binary").groupBy(
-        "row").applyInPandas(_join_ids, "row long, ids binary")
-    whole = pre.join(lost, "row", "left_semi").select("row", "k", F.substring("part", 1, chunk).alias("part"))
-    whole = whole.groupBy("row").applyInPandas(_join_text, "row long, text string")
-    return stitched.unionByName(map_arrow(whole, _encode_whole(path, pattern), "row long, ids binary"))
-
-
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK,
-           overlap: int = OVERLAP) -> DataFrame:
-    """The columns of ``docs`` without the text, and ``ids``: packed ids of the whole text by the rank file ``path``."""
-    kept = [c for c in docs.columns if c not in (text_col, "ids")]
-    text = free_name(docs, "text_read")
-    wide = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
-    short = wide.filter(F.length(text) <= chunk + overlap)
-    schema = short.drop(text).schema.add("ids", "binary")
-    done = map_arrow(short, _encode_whole(path, pattern), schema)
-    long = wide.filter(F.length(text) > chunk + overlap).withColumn(row, F.monotonically_increasing_id())
-    count = F.ceil((F.length(text) - overlap) / F.lit(chunk)).cast("int")
-    parts = materialize(long.select(
-        *kept, F.col(row), count.alias("n"), F.col(text), F.explode(F.sequence(F.lit(0), count - 1)).alias("k")).select(
-        *[F.when(F.col("k") == 0, F.col(c)).alias(c) for c in kept], row, "n", "k",
-        F.substring(F.col(text), F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part")))
-    made = encode_long(parts.select(F.col(row).alias("row"), "k", "n", "part"), path, pattern, chunk, overlap)
-    named = parts.filter("k = 0").select(*kept, F.col(row).alias(row)).join(
-        made.withColumnRenamed("row", row), row)
-    return done.unionByName(named.select(*kept, "ids"))
-
-
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with ``out``, the raw bytes of its packed ids, in place of the ids."""
     kept = [c for c in encoded.columns if c not in (ids_col, out)]

@@ -2,8 +2,9 @@
 
 `with_statistics` adds word, symbol, line and repetition counts to each document (numpy over Arrow batches, no
 shuffle). `learn_rules` learns from labelled statistics by sequential covering: a rule is a conjunction of
-thresholds, grown by information gain on two thirds of the rows, pruned on the rest, and kept while it is precise
-enough; rows that it covers leave, and the next rule is grown on what remains. `verdict` turns the ordered rules
+thresholds, grown by information gain on two thirds of the rows (once from each feature) and pruned on the rest;
+of those that are precise enough the one that rejects most is kept, the rows that it covers leave, and the next rule
+is grown on what remains. `verdict` turns the ordered rules
 into one Spark CASE expression, so applying them costs nothing beyond the statistics.
 
 Learning runs on the driver over at most `TRAIN_ROWS` labelled rows of a dozen numbers each, chosen by hash of the
@@ -146,21 +147,26 @@ def _cuts(values: np.ndarray, most: int = 64) -> np.ndarray:
     return mids if len(mids) <= most else mids[np.linspace(0, len(mids) - 1, most).astype(int)]
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most_tests: int) -> Rule:
-    """The conjunction whose tests each gain most information about ``bad`` rows among those still covered."""
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most_tests: int, first: tuple[str, bool]) -> Rule:
+    """The conjunction whose tests each gain most information about ``bad`` rows among those still covered.
+
+    The first test is the best one of the feature and direction ``first``.
+    """
     tests: list[tuple[str, bool, float]] = []
     live = np.ones(len(bad), bool)
     while len(tests) < most_tests and (~bad[live]).any():
         p0, n0 = bad[live].sum(), live.sum()
         best = (1e-9, None)
         for name, values in x.items():
+            if not tests and name != first[0]:
+                continue
             here, is_bad = values[live], bad[live]
             order = np.argsort(here, kind="stable")
             ranked, worse = here[order], np.concatenate([[0], np.cumsum(is_bad[order])])
             for cut in _cuts(here):
                 k = int(np.searchsorted(ranked, cut, "left"))
                 for at_least, n, p in ((True, n0 - k, p0 - worse[k]), (False, k, worse[k])):
-                    if p and n < n0:
+                    if p and n < n0 and (tests or at_least == first[1]):
                         gain = p * (np.log2(p / n) - np.log2(p0 / n0))
                         if gain > best[0]:
                             best = (gain, (name, at_least, float(cut)))
@@ -192,27 +198,30 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.
     grown_on = np.random.default_rng(seed).random(len(bad)) < 2 / 3
     live, rules = np.ones(len(bad), bool), []
     while len(rules) < most_rules and bad[live & grown_on].any():
-        part = {k: v[live & grown_on] for k, v in x.items()}
-        rule = _grow(part, bad[live & grown_on], most_tests)
-        if not rule.tests:
-            break
-        rest = live & ~grown_on
-        if bad[rest].any():
-            rule = _prune(rule, {k: v[rest] for k, v in x.items()}, bad[rest])
-        hit = rule.covers(x) & live
-        if (bad & hit).sum() < least_covered or (bad & hit).sum() < precision * hit.sum():
+        part, rest = {k: v[live & grown_on] for k, v in x.items()}, live & ~grown_on
+        pruned_on = {k: v[rest] for k, v in x.items()}
+        best = (0, 0, None)
+        for first in [(name, side) for name in x for side in (True, False)]:
+            rule = _grow(part, bad[live & grown_on], most_tests, first)
+            if rule.tests and bad[rest].any():
+                rule = _prune(rule, pruned_on, bad[rest])
+            hit = rule.covers(x) & live
+            p, n = int((bad & hit).sum()), int(hit.sum())
+            if rule.tests and p >= max(least_covered, precision * n) and (p, -n) > best[:2]:
+                best = (p, -n, rule)
+        if best[2] is None:
             break
-        rules.append(rule)
-        live &= ~hit
+        rules.append(best[2])
+        live &= ~best[2].covers(x)
     return rules
 
 
 def labelled_sample(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
                     rows: int = TRAIN_ROWS, prefix: str = "") -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features and badness of at most ``rows`` labelled documents, the first by hash of the id."""
+    """Features and badness of at most ``rows`` labelled documents that pass the base rules, the first by hash."""
     label = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.min(label_col).alias("_label"))
-    picked = statistics.join(label, id_col).select(
+    picked = statistics.filter(~base_failed(prefix)).join(label, id_col).select(
         *[c.alias(n) for n, c in features(prefix).items()], "_label", F.col(id_col).alias("_id")
     ).orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(rows).toPandas()
     return {n: picked[n].to_numpy(float) for n in FEATURES}, (picked["_label"] == 0).to_numpy(bool)
