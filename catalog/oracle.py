@@ -179,20 +179,26 @@ for _kind in ("standard", "robust"):
 SELECT "column", kind, round(center, 4) AS center, round(scale, 4) AS scale FROM stats"""
 
 
+def wide_stats() -> str:
+    """The standard scaler's statistics as one row: center and scale of each feature."""
+    parts = [f"avg({single(c)}) AS center_{c}, CASE WHEN stddev_pop({single(c)}) = 0 THEN 1.0::DOUBLE "
+             f"ELSE stddev_pop({single(c)}) END AS scale_{c}" for c in FEATURES]
+    return f"wide AS MATERIALIZED (SELECT {', '.join(parts)} FROM parts WHERE split = 'train')"
+
+
 def scaled_value(c: str) -> str:
-    stat = f"""(SELECT {{}} FROM stats WHERE "column" = '{c}')"""
-    return f"CAST(CAST(({single(c)} - {stat.format('center')}) / {stat.format('scale')} AS FLOAT) AS DOUBLE)"
+    return f"CAST(CAST(({single(c)} - center_{c}) / scale_{c} AS FLOAT) AS DOUBLE)"
 
 
 SCALED = ", ".join(f"round(coalesce({scaled_value(c)}, 0.0), 3) AS {c}" for c in FEATURES)
-ORACLE["scaled_panel"] = f"""WITH {daily()}, {split_features()}, {scaler('standard')}
-SELECT split, d AS "SHOP_DATE", p AS product_id, total_units, {SCALED} FROM parts"""
-ORACLE["scaled_panel_without_warmup"] = f"""WITH {daily()}, {split_features()}, {scaler('standard')}
+ORACLE["scaled_panel"] = f"""WITH {daily()}, {split_features()}, {wide_stats()}
+SELECT split, d AS "SHOP_DATE", p AS product_id, total_units, {SCALED} FROM parts, wide"""
+ORACLE["scaled_panel_without_warmup"] = f"""WITH {daily()}, {split_features()}, {wide_stats()}
 SELECT split, count(*) AS n_rows, {', '.join(f'round(avg({scaled_value(c)}), 3) AS {c}' for c in FEATURES)}
-FROM parts WHERE {NOT_NULL} GROUP BY split"""
+FROM parts, wide WHERE {NOT_NULL} GROUP BY split"""
 ORACLE["prepared_top_products"] = f"""WITH {top('supplier', 'month', 20)}, kept AS (
-  SELECT * FROM daily WHERE p IN (SELECT p FROM top)), {split_features('kept')}, {scaler('standard')}
-SELECT split, d AS "SHOP_DATE", p AS product_id, total_units, {SCALED} FROM parts"""
+  SELECT * FROM daily WHERE p IN (SELECT p FROM top)), {split_features('kept')}, {wide_stats()}
+SELECT split, d AS "SHOP_DATE", p AS product_id, total_units, {SCALED} FROM parts, wide"""
 ORACLE["unscaled_prices"] = f"""WITH {daily()} SELECT d AS "SHOP_DATE", p AS "PROD_CODE",
   round(avg_price, 5) AS avg_price FROM daily"""
 
@@ -294,10 +300,10 @@ ORACLE["candidate_prices"] = f"""WITH {daily()}, {actions()} SELECT d AS "SHOP_D
 FROM daily CROSS JOIN actions"""
 
 
-def grid(multipliers=MULTIPLIERS) -> str:
+def grid(multipliers=MULTIPLIERS, cost: float = 0.75) -> str:
     price = "avg_price * m"
     return f"""{daily()}, {LINES}, {MEDIANS}, {actions(multipliers)}, grid AS (
-  SELECT d, daily.p, i, m, {price} AS new_price, {sold(predicted(price))} AS units, 0.75::DOUBLE * median_price AS cost
+  SELECT d, daily.p, i, m, {price} AS new_price, {sold(predicted(price))} AS units, {cost}::DOUBLE * median_price AS cost
   FROM daily JOIN medians ON daily.p = medians.p LEFT JOIN slopes ON daily.p = slopes.p CROSS JOIN actions
   WHERE d > {VAL_END}), outcome AS (
   SELECT *, new_price * units AS revenue, (new_price - cost) * units AS profit FROM grid)"""
@@ -431,7 +437,7 @@ def replicates(count: int) -> str:
   FROM {kpis('replicate, policy', 'rep_products', 'rep_days')})"""
 
 
-ORACLE["bootstrap_replicates"] = f"WITH {replicates(100)} SELECT replicate, {SELECT_KPIS} FROM reps"
+ORACLE["bootstrap_replicates"] = f"WITH {replicates(1000)} SELECT replicate, {SELECT_KPIS} FROM reps"
 
 
 def bounds() -> str:
@@ -442,7 +448,7 @@ def bounds() -> str:
 BOUND_NAMES = [f"{k}_{side}" for k in KPI_NAMES for side in ("lower", "upper")]
 ORACLE["bootstrap_ci"] = f"""WITH {replicates(1000)}, ci AS (SELECT policy, {bounds()} FROM reps GROUP BY policy)
 SELECT policy, {rounds(BOUND_NAMES, 3)} FROM ci"""
-ORACLE["policy_report"] = f"""WITH {replicates(200)}, ci AS (SELECT policy, {bounds()} FROM reps GROUP BY policy), k AS (
+ORACLE["policy_report"] = f"""WITH {replicates(1000)}, ci AS (SELECT policy, {bounds()} FROM reps GROUP BY policy), k AS (
   SELECT {SELECT_KPIS} FROM {kpis('policy', 'per_product', 'results')})
 SELECT k.*, {rounds(BOUND_NAMES, 3)} FROM k LEFT JOIN ci USING (policy)"""
 
@@ -453,12 +459,15 @@ ORACLE["price_step_volatility"] = f"""WITH {daily()}, steps AS (
 SELECT p AS "PROD_CODE", round(coalesce(stddev_pop(diff), 0.0), 5) AS price_volatility FROM steps GROUP BY p"""
 
 
-def baseline(paid: str) -> str:
+def baseline(paid: str, noise_std: float = 0.0, cost: float = 0.7) -> str:
+    prediction = predicted("avg_price")
+    if noise_std:
+        prediction += f" + {noise_std}::DOUBLE * {normal('p', 'd::VARCHAR', "'history'")}"
     return f"""{NUMBERED}, {POSITIONS}, head AS (
-  SELECT numbered.p, rn, avg_price, {paid} AS paid, {sold(predicted('avg_price'))} AS sold
+  SELECT numbered.p, rn, avg_price, {paid} AS paid, {sold(prediction)} AS sold
   FROM numbered JOIN positions USING (p, rn) LEFT JOIN slopes USING (p) WHERE rn <= 90), moved AS (
   SELECT *, paid - lag(paid) OVER (PARTITION BY p ORDER BY rn) AS diff FROM head), history AS (
-  SELECT p, sum((paid - 0.7 * paid) * sold) AS historical_profit, coalesce(stddev_pop(diff), 0.0) AS historical_volatility
+  SELECT p, sum((paid - {cost} * paid) * sold) AS historical_profit, coalesce(stddev_pop(diff), 0.0) AS historical_volatility
   FROM moved GROUP BY p)"""
 
 
@@ -468,11 +477,16 @@ SELECT p AS product_id, round(historical_profit, 2) AS historical_profit,
   round(historical_volatility, 5) AS historical_volatility FROM history"""
 
 
-def product_evaluation(episodes: int, noise_std: float) -> str:
+ORACLE["historical_baseline_with_noise"] = f"""WITH {daily()}, {LINES}, {baseline('raw_price', 2.0)}
+SELECT p AS product_id, round(historical_profit, 2) AS historical_profit,
+  round(historical_volatility, 5) AS historical_volatility FROM history"""
+
+
+def product_evaluation(episodes: int, noise_std: float, cost: float | None = None) -> str:
     prediction = predicted("price")
     if noise_std:
         prediction += f" + {noise_std}::DOUBLE * {normal('played.p', 'd::VARCHAR', 'episode')}"
-    return f"""{grid()}, {best_of('profit')}, {NUMBERED.replace('numbered AS', 'test_rows AS')}, cut AS (
+    return f"""{grid(cost=cost or 0.75)}, {best_of('profit')}, {NUMBERED.replace('numbered AS', 'test_rows AS')}, cut AS (
   SELECT *, greatest(1, least(90, n - 1)) AS steps FROM test_rows WHERE rn <= greatest(1, least(90, n - 1))), chosen AS (
   SELECT cut.p, cut.d, rn, steps, avg_price * m AS price, cost FROM cut JOIN best ON cut.p = best.p AND cut.d = best.d),
 played AS (
@@ -483,7 +497,7 @@ played AS (
   SELECT p, episode, sum(profit) AS profit, coalesce(stddev_pop(diff), 0.0) AS volatility FROM realised GROUP BY p, episode),
 agent AS (
   SELECT p, avg(profit) AS agent_profit_mean, stddev_pop(profit) AS agent_profit_std, avg(volatility) AS agent_volatility
-  FROM per_episode GROUP BY p), {baseline('raw_price')}, evaluated AS (
+  FROM per_episode GROUP BY p), {baseline('raw_price', noise_std, cost or 0.7)}, evaluated AS (
   SELECT p, agent_profit_mean, agent_profit_std, agent_volatility, historical_profit, historical_volatility,
     CASE WHEN historical_profit = 0 THEN 'inf'::DOUBLE
       ELSE (agent_profit_mean - historical_profit) / abs(historical_profit) * 100 END AS improvement_pct,
@@ -493,7 +507,8 @@ agent AS (
 
 EVALUATED = ["agent_profit_mean", "agent_profit_std", "agent_volatility", "historical_profit", "historical_volatility",
              "improvement_pct", "sales_volatility"]
-for _name, _args in (("product_evaluation", (1, 0.0)), ("product_evaluation_with_noise", (3, 2.0))):
+for _name, _args in (("product_evaluation", (1, 0.0)), ("product_evaluation_with_noise", (3, 2.0)),
+                     ("product_evaluation_cost_ratio", (1, 0.0, 0.6))):
     ORACLE[_name] = f"WITH {product_evaluation(*_args)} SELECT p AS product_id, {rounds(EVALUATED, 3)} FROM evaluated"
 ORACLE["portfolio_summary"] = f"""WITH {product_evaluation(1, 0.0)}, t AS (
   SELECT sum(agent_profit_mean) AS a, sum(historical_profit) AS h FROM evaluated)

@@ -76,7 +76,7 @@ def priced(df: DataFrame) -> DataFrame:
     constants = registry.median_prices(df, PRODUCT_ID)
     return test_rows(df).join(constants, PRODUCT_ID, "left") \
         .withColumn("price", F.col("avg_price")) \
-        .withColumn("unit_cost", pricing.unit_cost(F.col("median_price"), SETTINGS.cost_ratio))
+        .withColumn("unit_cost", pricing.unit_cost(F.col("median_price"), SETTINGS.policy_cost))
 
 
 def straight_lines(df: DataFrame) -> demand.Scorer:
@@ -534,7 +534,7 @@ def policy_kpis(spark, sf):
 def bootstrap_replicates(spark, sf):
     log = materialize(results(spark, sf))
     parts = materialize(kpi.product_parts(log))
-    return kpi.bootstrap_replicates(log, parts, 100, SEED).select("replicate", *_kpi_columns())
+    return kpi.bootstrap_replicates(log, parts, SETTINGS.bootstraps, SEED).select("replicate", *_kpi_columns())
 
 
 def _bounds() -> list[Column]:
@@ -549,7 +549,7 @@ def bootstrap_ci(spark, sf):
 
 @query
 def policy_report(spark, sf):
-    report = kpi.kpi_report(materialize(results(spark, sf)), 200, SETTINGS.ci_level, SEED)
+    report = kpi.kpi_report(materialize(results(spark, sf)), SETTINGS.bootstraps, SETTINGS.ci_level, SEED)
     return report.select(*_kpi_columns(), *_bounds())
 
 
@@ -561,10 +561,11 @@ def price_step_volatility(spark, sf):
         PRODUCT, rounded("price_volatility", 5))
 
 
-def _baseline(spark: SparkSession, sf: str, align: str) -> DataFrame:
+def _baseline(spark: SparkSession, sf: str, align: str, noise_std: float = 0.0) -> DataFrame:
     df = stored(spark, sf)
     rows = test_rows(df).withColumn("price", F.col("avg_price"))
-    return evaluation.historical_baseline(rows, df, straight_lines(df), SETTINGS.horizon, align=align).select(
+    return evaluation.historical_baseline(rows, df, straight_lines(df), SETTINGS.horizon, align=align,
+                                          noise_std=noise_std).select(
         PRODUCT_ID, rounded("historical_profit", 2), rounded("historical_volatility", 5))
 
 
@@ -573,16 +574,22 @@ def historical_baseline(spark, sf):
     return _baseline(spark, sf, "position")
 
 
+@query
+def historical_baseline_with_noise(spark, sf):
+    return _baseline(spark, sf, "position", 2.0)
+
+
 @query
 def historical_baseline_by_date(spark, sf):
     return _baseline(spark, sf, "date")
 
 
-def evaluated_products(spark: SparkSession, sf: str, episode_count: int, noise_std: float) -> DataFrame:
+def evaluated_products(spark: SparkSession, sf: str, episode_count: int, noise_std: float,
+                       settings: Settings = SETTINGS) -> DataFrame:
     df = stored(spark, sf)
     rows = test_rows(df).withColumn("price", F.col("avg_price"))
     return evaluation.product_evaluation(
-        rows, df, registry.product_constants(df, PRODUCT_ID), straight_lines(df), SETTINGS, episode_count, noise_std)
+        rows, df, registry.product_constants(df, PRODUCT_ID), straight_lines(df), settings, episode_count, noise_std)
 
 
 def _evaluation_columns(df: DataFrame) -> DataFrame:
@@ -594,6 +601,11 @@ def product_evaluation(spark, sf):
     return _evaluation_columns(evaluated_products(spark, sf, 1, 0.0))
 
 
+@query
+def product_evaluation_cost_ratio(spark, sf):
+    return _evaluation_columns(evaluated_products(spark, sf, 1, 0.0, replace(SETTINGS, cost_ratio=0.6)))
+
+
 @query
 def product_evaluation_with_noise(spark, sf):
     return _evaluation_columns(evaluated_products(spark, sf, 3, 2.0))

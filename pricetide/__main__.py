@@ -2,7 +2,7 @@
 
     python -m pricetide prepare --raw transactions.parquet --out data
     python -m pricetide train --data data --model model
-    python -m pricetide quality|noise|series --data data --model model
+    python -m pricetide quality|noise|series --data data --model model --reports reports
     python -m pricetide policies --data data --model model --reports reports
     python -m pricetide products --data data --model model --reports reports
 """
@@ -16,6 +16,7 @@ from dataclasses import replace
 from .config import Settings
 from .plans import evaluation, preparation
 from .session import build_session
+from .sources import tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,8 +47,10 @@ def parser() -> argparse.ArgumentParser:
     for command in (train, series, quality, noise, policies, products):
         command.add_argument("--data", required=True)
         command.add_argument("--model", required=True)
+    for command in (series, quality, noise, policies, products):
+        command.add_argument("--reports", required=True, help="folder that the whole results are written to")
     for command in (policies, products):
-        command.add_argument("--reports", required=True)
+        command.add_argument("--noise-std", type=float, default=Settings.noise_std)
         command.add_argument("--cost-ratio", type=float, default=Settings.cost_ratio)
     for command in (prepare, policies):
         command.add_argument("--train-end", type=dt.date.fromisoformat, default=Settings.train_end)
@@ -55,6 +58,12 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def write_report(result, folder: str, name: str) -> None:
+    """Write every row of a result as CSV and show its first rows."""
+    tables.write_csv_report(result, f"{folder}/{name}")
+    result.show()
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session(f"pricetide {args.command}")
@@ -65,11 +74,11 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "train":
         evaluation.train_demand(spark, args.data, args.model, settings, args.trees)
     elif args.command == "series":
-        evaluation.demand_series(spark, args.data, args.model, args.product).show(100, truncate=False)
+        write_report(evaluation.demand_series(spark, args.data, args.model, args.product), args.reports, "series")
     elif args.command == "quality":
-        evaluation.evaluate_demand(spark, args.data, args.model).show()
+        write_report(evaluation.evaluate_demand(spark, args.data, args.model), args.reports, "quality")
     elif args.command == "noise":
-        evaluation.calibrate_noise(spark, args.data, args.model).show()
+        write_report(evaluation.calibrate_noise(spark, args.data, args.model), args.reports, "noise")
     elif args.command == "policies":
         evaluation.run_full_evaluation(spark, args.data, args.model, args.reports, settings, args.num_products,
                                        args.bootstraps).show(truncate=False)

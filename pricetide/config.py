@@ -45,7 +45,10 @@ class Settings:
     action_high: float = 1.1
     horizon: int = 90
     noise_std: float = 0.0719
-    cost_ratio: float = 0.75
+    #: Unit cost as a share of the price on both sides; None takes each side's own default below.
+    cost_ratio: float | None = None
+    policy_cost_ratio: float = 0.75
+    baseline_cost_ratio: float = 0.7
     bootstraps: int = 1000
     ci_level: float = 0.95
     seed: int = 42
@@ -53,3 +56,13 @@ class Settings:
     learning_rate: float = 0.01
     subsample: float = 0.8
     max_depth: int = 5
+
+    @property
+    def policy_cost(self) -> float:
+        """The policy's unit cost as a share of the product's median price."""
+        return self.policy_cost_ratio if self.cost_ratio is None else self.cost_ratio
+
+    @property
+    def baseline_cost(self) -> float:
+        """The historical baseline's unit cost as a share of its own price."""
+        return self.baseline_cost_ratio if self.cost_ratio is None else self.cost_ratio

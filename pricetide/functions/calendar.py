@@ -17,7 +17,9 @@ def parse_yyyymmdd(column: Column, data_type: T.DataType) -> Column:
         year = (column / 10000).cast("int")
         date = F.make_date(year, (column / 100).cast("int") % 100, (column % 100).cast("int"))
         bad = F.raise_error(F.concat(F.lit("not a yyyyMMdd date: "), column.cast("string")))
-        return F.when(column.isNull() | column.between(10000101, 99991231), date).otherwise(bad.cast("date"))
+        # Without ANSI mode make_date gives NULL for a day that does not exist.
+        return F.when(column.isNull() | (column.between(10000101, 99991231) & date.isNotNull()), date).otherwise(
+            bad.cast("date"))
     return F.to_date(column.cast("string"), "yyyyMMdd")
 
 

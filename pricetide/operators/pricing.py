@@ -10,6 +10,7 @@ from ..config import PRODUCT_ID
 from ..functions.numeric import clip, round_half_even
 from .demand import Scorer, simulate_demand
 
+# Policy labels.
 HISTORICAL = "Historical"
 RULE_MEDIAN = "Rule-Based (Median)"
 BEST = "Best Multiplier"
@@ -21,9 +22,11 @@ def historical_multiplier() -> Column:
 
 
 def median_multiplier(price: Column, median: Column) -> Column:
-    """The multiplier that moves the price to the median; 1 at price zero, an error without a price."""
-    missing = F.raise_error("the median rule needs the current price").cast("double")
-    return F.when(price.isNull(), missing).when(price == 0, 1.0).otherwise(median / price)
+    """The multiplier that moves the price to the median; 1 at price zero and on days without a price.
+
+    A day whose lines all have zero quantity has no price; there is nothing to move, so the day keeps what it has.
+    """
+    return F.when(price.isNull() | F.isnan(price) | (price == 0), 1.0).otherwise(median / price)
 
 
 def nearest_action(multiplier: Column, actions: Sequence[float]) -> Column:

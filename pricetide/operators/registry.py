@@ -29,7 +29,7 @@ def dense_ids(df: DataFrame, column: str = PRODUCT_ID) -> DataFrame:
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("bucket").orderBy(column))
-    return bucketed.join(offsets, "bucket").select(
+    return bucketed.join(F.broadcast(offsets), "bucket").select(
         column, (F.col("offset") + inside - 1).cast("int").alias("dense_id"))
 
 

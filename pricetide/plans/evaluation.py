@@ -77,7 +77,7 @@ def policy_results(rows: DataFrame, train_panel: DataFrame, constants: DataFrame
     actions = settings.multipliers if actions is None else actions
     median = global_median_price(train_panel).scalar()
     priced = rows.join(constants.select(PRODUCT_ID, "median_price"), PRODUCT_ID, "left") \
-        .withColumn("unit_cost", unit_cost(F.col("median_price"), settings.cost_ratio)) \
+        .withColumn("unit_cost", unit_cost(F.col("median_price"), settings.policy_cost)) \
         .withColumn("global_median", median)
 
     def prepare(df: DataFrame) -> DataFrame:
