@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pricetide.session import materialize
 
-__all__ = ["documents", "free_name", "map_arrow", "materialize", "numbered", "salt", "ship"]
+__all__ = ["documents", "free_name", "map_arrow", "materialize", "numbered", "salt", "sampled", "ship"]
 
 #: Rows that one numbering bucket holds on average; a bucket is sorted in one task.
 BUCKET_ROWS = 1_000
@@ -60,6 +60,18 @@ def salt(row: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(row, F.lit("salt")), F.lit(salts)).cast("int")
 
 
+def sampled(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows, chosen by hash of ``keys``; all of them if there are no more.
+
+    A share of the hash range is kept, so no task sends more than its part of the sample anywhere. The share aims at
+    nine tenths of the bound; the limit makes the bound strict.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) < int(0.9 * rows / total * (1 << 30))).limit(rows)
+
+
 def numbered(df: DataFrame, keys: list[str], row_id: str, name: str, rows: int) -> DataFrame:
     """``df`` with ``name``: gapless numbers from 0 within ``keys``, in an order fixed by the rows' ids.
 

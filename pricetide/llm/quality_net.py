@@ -6,7 +6,7 @@ filters is a table of a value per offset and byte (a convolution over one-hot by
 chunk is kept (max-pooling), a hidden layer and one output make the chunk's logit, and the chunks' logits, averaged
 by their number of windows, give the document's one probability.
 
-Learning runs in numpy on the driver, over at most `TRAIN_ROWS` labelled documents of each label (the first by hash
+Learning runs in numpy on the driver, over at most `TRAIN_ROWS` labelled documents of each label (by hash
 of the id) and `TRAIN_CHUNKS` evenly spaced chunks of each. Scoring covers every row and every byte, in slices of
 bounded size over Arrow batches, without a shuffle.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import map_arrow
+from pricetide.llm.common import map_arrow, sampled
 from pricetide.llm.textbuf import slices
 from pricetide.llm.toxicity import held_out
 
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A net of the labelled rows that are not held out (remainder 1 of 3)."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(
         id_col).agg(F.min(label_col).cast("double").alias("good"))
-    first = lambda x: known.filter(F.col("good") == x).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    first = lambda x: sampled(known.filter(F.col("good") == x), [id_col], rows)
     sample = first(0).unionByName(first(1))  # at most ``rows`` ids of each label
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), id_col)
     held = map_arrow(texts.select("good", "text"), _training_chunks, "good double, chunk binary").orderBy(

@@ -7,7 +7,7 @@ of those that are precise enough the one that rejects most is kept, the rows tha
 is grown on what remains. `verdict` turns the ordered rules
 into one Spark CASE expression, so applying them costs nothing beyond the statistics.
 
-Learning runs on the driver over at most `TRAIN_ROWS` labelled rows of a dozen numbers each, chosen by hash of the
+Learning runs on the driver over at most `TRAIN_ROWS` labelled ids, a dozen numbers each, chosen by hash of the
 id; statistics and verdicts cover every row.
 
 Edge cases: a null text has no words. A text without words has ratios of 0. Without labels, or with labels of one
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import free_name, map_arrow
+from pricetide.llm.common import free_name, map_arrow, sampled
 from pricetide.llm.textbuf import Words, mixed, slices
 
 TRAIN_ROWS = 20_000
@@ -218,12 +218,14 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.
 
 def labelled_sample(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
                     rows: int = TRAIN_ROWS, prefix: str = "") -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features and badness of at most ``rows`` labelled documents that pass the base rules, the first by hash."""
+    """Features and badness of at most ``rows`` labelled documents that pass the base rules, chosen by hash of
+    the id (rows that repeat an id each count)."""
     label = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.min(label_col).alias("_label"))
+    label = sampled(label, [id_col], rows)
     picked = statistics.filter(~base_failed(prefix)).join(label, id_col).select(
-        *[c.alias(n) for n, c in features(prefix).items()], "_label", F.col(id_col).alias("_id")
-    ).orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(rows).toPandas()
+        *[c.alias(n) for n, c in features(prefix).items()], "_label", F.col(id_col).alias("_id")).toPandas()
+    picked = picked.sort_values(["_id", *FEATURES], ignore_index=True)
     return {n: picked[n].to_numpy(float) for n in FEATURES}, (picked["_label"] == 0).to_numpy(bool)
 
 

@@ -5,8 +5,8 @@ regression on the labelled rows with one more penalty: in labelled sentences tha
 swapped for every other one of the list, and the squared change of the score is added to the loss. A group's name
 that happens to stand in many toxic examples so gets no weight of its own, and neutral mentions are not flagged.
 
-Learning: Spark counts each feature by label over a sample of at most `TRAIN_ROWS` labelled rows (the first by
-hash of the id) and ranks them; the driver gets the best `VOCABULARY` features and the sample in terms of these.
+Learning: Spark counts each feature by label over a sample of at most `TRAIN_ROWS` labelled rows (by hash of
+the id) and ranks them; the driver gets the best `VOCABULARY` features and the sample in terms of these.
 Scoring covers every row and whole texts, with numpy over Arrow batches and no shuffle.
 
 Edge cases: a null or empty text has no features and scores the model's base rate. Without labels of both classes
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import free_name, map_arrow, materialize
+from pricetide.llm.common import free_name, map_arrow, materialize, sampled
 from pricetide.llm.textbuf import punctuated, slices, word_hash
 
 TRAIN_ROWS = 20_000
@@ -166,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           fairness: float = 1.0) -> Model:
     """A model of the labelled rows that are not `held_out`."""
     sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(
-        id_col).agg(F.max(label_col).cast("double").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+        id_col).agg(F.max(label_col).cast("double").alias("toxic"))
+    sample = sampled(sample, [id_col], rows)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(sample), id_col).select("toxic", "text")  # at most ``rows`` ids and labels
     seen = materialize(map_arrow(texts, _as_features, "toxic double, features array<long>"))
@@ -192,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return place[features[place] == values]
 
     held = _only(seen, signed).toPandas()
-    pairs = map_arrow(texts, _as_pairs, "own array<long>, other array<long>").distinct().orderBy(
-        F.xxhash64("own", "other")).limit(PAIRS).toPandas()
+    pairs = map_arrow(texts, _as_pairs, "own array<long>, other array<long>").distinct()
+    pairs = sampled(pairs, ["own", "other"], PAIRS).toPandas()
     weights, base = fit([in_terms(x) for x in held["features"]], held["toxic"].to_numpy(float),
                         [in_terms(x) for x in pairs["own"]], [in_terms(x) for x in pairs["other"]], len(features),
                         fairness=fairness)
