@@ -50,7 +50,7 @@ def materialize(df: DataFrame) -> DataFrame:
         _MADE.append((spark, stored, None))
         return stored
     path = f"{folder.rstrip('/')}/pricetide/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     files, where = _files(spark, path)
     files.deleteOnExit(where)
     stored = spark.read.schema(df.schema).parquet(path)
