@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,9 @@ OVERLAP = 1_024
 #: No match that ends this close to a chunk's end is trusted: contractions look two characters ahead.
 MARGIN = 3
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Texts that are encoded at a time.
+ROWS = 512
 
 #: Characters on which the standard library's classes equal the pattern's Unicode classes; texts with others
 #: take the slower module.
@@ -98,19 +100,23 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def _encode_whole(path: str, pattern: str):
+def _encode_whole(path: str, pattern: str, then: Callable | None = None):
+    """Ids of the texts in the last column; ``then`` goes on with the batches in the same worker."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            ids = [codec.encode(codec.split(t or "")) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())],
-                                             names=[*batch.schema.names[:-1], "ids"])
+            for start in range(0, batch.num_rows, ROWS):
+                some = batch.slice(start, ROWS)
+                ids = [codec.encode(codec.split(t or "")) for t in some.column(some.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(ids, pa.binary())],
+                                                 names=[*some.schema.names[:-1], "ids"])
 
-    return encode
+    return encode if then is None else lambda batches: then(encode(batches))
 
 
 def _pretokenise(path: str, pattern: str, chunk: int, overlap: int):
-    """Adds the boundaries in the overlaps: ``head`` with the chunk before, ``tail`` (trusted) with the one after."""
+    """The boundaries in the overlaps: ``head`` with the chunk before, ``tail`` (trusted) with the one after."""
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
@@ -122,8 +128,8 @@ def _pretokenise(path: str, pattern: str, chunk: int, overlap: int):
                 heads.append((ends[(ends > 0) & (ends < overlap)] + k * chunk).tolist())
                 tails.append((trusted[trusted > chunk] + k * chunk).tolist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))],
-                names=[*batch.schema.names, "head", "tail"])
+                [batch.column("row"), batch.column("k"), batch.column("n"), pa.array(heads, pa.list_(pa.int64())),
+                 pa.array(tails, pa.list_(pa.int64()))], names=["row", "k", "n", "head", "tail"])
 
     return pretokenise
 
@@ -155,49 +161,54 @@ def _join_text(group):
 
 
 def encode_long(parts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row, ids) of texts given as overlapping chunks: row, k, n, part."""
-    pre = materialize(map_arrow(parts.repartition("row", "k"), _pretokenise(path, pattern, chunk, overlap),
-                                "row long, k int, n int, part string, head array<long>, tail array<long>"))
+    """(row, ids) of texts given as overlapping chunks: row, k, n, part. ``parts`` is read more than once."""
+    pre = map_arrow(parts, _pretokenise(path, pattern, chunk, overlap),
+                    "row long, k int, n int, head array<long>, tail array<long>")
     in_order = Window.partitionBy("row").orderBy("k")
-    seams = pre.select("row", "k", "n", "head", "tail").withColumn("stop", F.array_min(
+    seams = pre.withColumn("stop", F.array_min(
         F.array_intersect("tail", F.lead("head").over(in_order)))).withColumn(
         "start", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(F.lag("stop").over(in_order)))
     seams = materialize(seams.select("row", "k", "n", "start", "stop"))
     lost = seams.filter("k < n - 1 and stop is null").select("row").distinct()
-    pieces = pre.select("row", "k", "part").join(
+    pieces = parts.select("row", "k", "part").join(
         seams.join(lost, "row", "left_anti").select("row", "k", "start", "stop"), ["row", "k"])
     stitched = map_arrow(pieces, _encode_pieces(path, pattern, chunk), "row long, k int, ids binary").groupBy(
         "row").applyInPandas(_join_ids, "row long, ids binary")
-    whole = pre.join(lost, "row", "left_semi").select("row", "k", F.substring("part", 1, chunk).alias("part"))
+    whole = parts.join(lost, "row", "left_semi").select("row", "k", F.substring("part", 1, chunk).alias("part"))
     whole = whole.groupBy("row").applyInPandas(_join_text, "row long, text string")
     return stitched.unionByName(map_arrow(whole, _encode_whole(path, pattern), "row long, ids binary"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK,
-           overlap: int = OVERLAP) -> DataFrame:
-    """The columns of ``docs`` without the text, and ``ids``: packed ids of the whole text by the rank file ``path``."""
+           overlap: int = OVERLAP, then: tuple[Callable, object] | None = None) -> DataFrame:
+    """The columns of ``docs`` without the text, and ``ids``: packed ids of the whole text by the rank file ``path``.
+
+    ``then`` is (function, schema): what should be done with the encoded batches in the worker that made them, so
+    that a task needs one Python process. The function is called with 0 for the short and 1 for the long texts, and
+    gives a `mapInArrow` function; its rows of ``schema`` are the result.
+    """
     kept = [c for c in docs.columns if c not in (text_col, "ids")]
     text = free_name(docs, "text_read")
     wide = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
     short = wide.filter(F.length(text) <= chunk + overlap)
-    schema = short.drop(text).schema.add("ids", "binary")
-    done = map_arrow(short, _encode_whole(path, pattern), schema)
     long = wide.filter(F.length(text) > chunk + overlap).select(
         F.struct(*kept).alias("kept"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     count = F.ceil((F.length("text") - overlap) / F.lit(chunk)).cast("int")
-    parts = materialize(long.select(
-        "kept", "row", "text", count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k")).select(
+    cut = long.select("kept", "row", "text", count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    # Dealt over the tasks before they are written: the chunks of one text lie in one task until then.
+    parts = materialize(cut.select(
         F.when(F.col("k") == 0, F.col("kept")).alias("kept"), "row", "n", "k",
-        F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part")))
+        F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part")).repartition("row", "k"))
     made = encode_long(parts.select("row", "k", "n", "part"), path, pattern, chunk, overlap)
-    return done.unionByName(parts.filter("k = 0").select("kept", "row").join(made, "row").select("kept.*", "ids"))
-
+    made = parts.filter("k = 0").select("kept", "row").join(made, "row").select("kept.*", "ids")
+    if then is None:
+        return map_arrow(short, _encode_whole(path, pattern), short.drop(text).schema.add("ids", "binary")).unionByName(made)
+    function, schema = then
+    return map_arrow(short, _encode_whole(path, pattern, function(0)), schema).unionByName(
+        map_arrow(materialize(made), function(1), schema))
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with ``out``, the raw bytes of its packed ids, in place of the ids."""
-    kept = [c for c in encoded.columns if c not in (ids_col, out)]
-    schema = encoded.select(*kept).schema.add(ids_col, "binary").add(out, "binary")
 
+def _decoder(path: str, pattern: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
@@ -206,4 +217,18 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", ou
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())],
                                              names=[*batch.schema.names, out])
 
-    return map_arrow(encoded.select(*kept, ids_col), run, schema)
+    return run
+
+
+def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encoded`` with ``out``, the raw bytes of its packed ids."""
+    kept = [c for c in encoded.columns if c not in (ids_col, out)]
+    schema = encoded.select(*kept).schema.add(ids_col, "binary").add(out, "binary")
+    return map_arrow(encoded.select(*kept, ids_col), _decoder(path, pattern, out), schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "decoded", **sizes) -> DataFrame:
+    """`encode` and `decode` in one pass: the columns of ``docs`` without the text, ``ids`` and ``out``."""
+    docs = docs.drop(*{"ids", out} - {text_col})
+    schema = docs.drop(text_col).schema.add("ids", "binary").add(out, "binary")
+    return encode(docs, path, pattern, text_col, then=(lambda _: _decoder(path, pattern, out), schema), **sizes)

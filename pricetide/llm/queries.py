@@ -28,8 +28,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *codec)
-    return bpe.decode(encoded, *codec).select(
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), *codec).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -59,10 +58,11 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat token files that Spark makes from all documents, then counted from the files alone."""
-    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"),
-                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     end_of_document = 50256
-    files = materialize(token_files.write_blocks(encoded, end_of_document))
+    write = (lambda branch: token_files.block_writer(end_of_document, branch=branch, branches=2),
+             token_files.block_schema(docs.schema["doc_id"].dataType.simpleString()))
+    files = materialize(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, then=write))
     return token_files.named(token_files.count_tokens(files, end_of_document), files)
 
 

@@ -38,20 +38,18 @@ def read_blocks(spark: SparkSession, path: str, width: int = 4, block_tokens: in
         F.substring("content", F.col("b") * size + 1, F.lit(size)).alias("data"))
 
 
-def write_blocks(encoded: DataFrame, separator: int, id_col: str = "doc_id", ids_col: str = "ids",
-                 block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One flat file for each task: (file, block, data, first, ids) from packed 32-bit ids.
+def block_schema(kind: str) -> str:
+    return f"file long, block long, data binary, first long, ids array<{kind}>"
 
-    ``ids`` are the ids of the documents that end in the block and ``first`` how many ended before: the manifest,
-    which the scan does not look at.
-    """
-    kind = encoded.schema[id_col].dataType.simpleString()
+
+def block_writer(separator: int, block_tokens: int = BLOCK_TOKENS, branch: int = 0, branches: int = 1):
+    """Batches of (id, packed ids) to blocks of one file a task; tasks of different branches write different files."""
     size = 4 * block_tokens
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, block, first = TaskContext.get().partitionId(), 0, 0
+        file, block, first = TaskContext.get().partitionId() * branches + branch, 0, 0
         end, held, names = np.array([separator], "<u4").tobytes(), bytearray(), []
         like = None
         for batch in batches:
@@ -68,8 +66,18 @@ def write_blocks(encoded: DataFrame, separator: int, id_col: str = "doc_id", ids
         if held:
             yield _block(file, block, bytes(held), first, [n for n, _ in names], like)
 
-    return map_arrow(encoded.select(id_col, ids_col), write,
-                     f"file long, block long, data binary, first long, ids array<{kind}>")
+    return write
+
+
+def write_blocks(encoded: DataFrame, separator: int, id_col: str = "doc_id", ids_col: str = "ids",
+                 block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One flat file for each task: (file, block, data, first, ids) from packed 32-bit ids.
+
+    ``ids`` are the ids of the documents that end in the block and ``first`` how many ended before: the manifest,
+    which the scan does not look at.
+    """
+    return map_arrow(encoded.select(id_col, ids_col), block_writer(separator, block_tokens),
+                     block_schema(encoded.schema[id_col].dataType.simpleString()))
 
 
 def _block(file, block, data, first, ids, kind) -> pa.RecordBatch:

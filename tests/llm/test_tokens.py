@@ -32,8 +32,9 @@ def test_encoding_equals_the_library_and_round_trips(docs, awkward, library):
         expected = Counter()
         for (i, t), n in texts.items():
             expected[i, tuple(library.encode_ordinary(t or "")), (t or "").encode()] += n
-        made = bpe.decode(bpe.encode(frame, *CODEC), *CODEC).collect()
-        assert Counter((r.doc_id, tuple(ids_of(r.ids)), bytes(r.decoded)) for r in made) == expected
+        for made in bpe.decode(bpe.encode(frame, *CODEC), *CODEC), bpe.round_trip(frame, *CODEC):
+            assert set(made.columns) == (set(frame.columns) - {"text"}) | {"ids", "decoded"}
+            assert Counter((r.doc_id, tuple(ids_of(r.ids)), bytes(r.decoded)) for r in made.collect()) == expected
 
 
 @pytest.mark.parametrize("chunk,overlap", [(64, 24), (200, 50)])
@@ -63,6 +64,10 @@ def test_counts_in_flat_files(spark, docs, awkward, block):
         files = token_files.write_blocks(encoded, 50256, block_tokens=block).persist()
         counts = token_files.named(token_files.count_tokens(files, 50256), files)
         assert Counter((r.doc_id, r.n_tokens) for r in counts.collect()) == lengths
+        write = (lambda branch: token_files.block_writer(50256, block, branch, 2), token_files.block_schema("bigint"))
+        files = bpe.encode(frame.select("doc_id", "text"), *CODEC, then=write).persist()
+        counts = token_files.named(token_files.count_tokens(files, 50256), files)
+        assert Counter((r.doc_id, r.n_tokens) for r in counts.collect()) == lengths
 
 
 def test_real_files_open_ends_and_two_levels(spark, tmp_path, monkeypatch):
