@@ -30,6 +30,9 @@ def build_session(app_name: str = "pricetide", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+#: With it, a job's shuffle files go when its write has ended; nothing reads them again. Unknown to Spark before 4.1.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: What `materialize` has made in this process and `release` has not removed yet: (session, table, path or None).
 _MADE: list[tuple[SparkSession, DataFrame, str | None]] = []
 
@@ -50,7 +53,15 @@ def materialize(df: DataFrame) -> DataFrame:
         _MADE.append((spark, stored, None))
         return stored
     path = f"{folder.rstrip('/')}/pricetide/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     files, where = _files(spark, path)
     files.deleteOnExit(where)
     stored = spark.read.schema(df.schema).parquet(path)
@@ -58,9 +69,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return stored
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every table that `materialize` has stored for ``spark``; call it once results have been read."""
-    for made in [m for m in _MADE if m[0] is spark]:
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove the given ones, or all, of the tables that `materialize` has stored for ``spark``.
+
+    Call it once results that read them have been written or read.
+    """
+    for made in [m for m in _MADE if m[0] is spark and (not tables or any(m[1] is t for t in tables))]:
         _MADE.remove(made)
         _, stored, path = made
         if path is None:
