@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pricetide.llm.common import free_name, map_arrow, materialize, numbered, ship
 from pricetide.llm.components import components
 from pricetide.llm.textbuf import Words, mixed, shingles, slices
+from pricetide.session import release
 
 WORDS = 5
 PERCENT = 75
@@ -179,8 +180,10 @@ def candidates(docs: DataFrame, classes: DataFrame, total: int, id_col: str, tex
         map_arrow(sent.filter("part < 0").select("keys", "classes"), _unpacked, "class long, n long"))
     counts = counts.groupBy("class").agg(F.sum("n").alias("shared"))
     least = F.greatest(F.lit(1), F.floor(_ceil_share(F.col("n")) / 8))
-    left = classes.withColumn("class", _class_of(F.col("digest"))).join(counts, "class").filter(
-        (F.col("n") > 1) & (F.col("shared") >= least)).select("digest", "first_id")
+    # A job of its own: its shuffles and the packed shingles are gone before the texts are dealt.
+    left = materialize(classes.withColumn("class", _class_of(F.col("digest"))).join(counts, "class").filter(
+        (F.col("n") > 1) & (F.col("shared") >= least)).select("digest", "first_id"))
+    release(spark, sent)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     read = texts.join(left, texts["id"].eqNullSafe(left["first_id"])).select("digest", "text")
 
