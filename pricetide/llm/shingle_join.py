@@ -227,9 +227,13 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 
 def boundary(first: DataFrame) -> int:
-    """The size up to which enumerating 2-subsets costs less than scanning the lists, over all sets up to it."""
+    """The size up to which enumerating 2-subsets costs less than scanning the lists, over all sets up to it.
+
+    A subset costs a row. Scanning a list costs a row for each of its classes, but no more than `LIGHT`: longer
+    lists are compared in blocks, which takes no row for each pair.
+    """
     one = F.col("place") <= F.col("n") - _ceil_share(F.col("n")) + 1
-    by_set = first.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(one, F.col("df")).otherwise(0)).alias("scan"))
+    by_set = first.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(one, F.least("df", F.lit(LIGHT))).otherwise(0)).alias("scan"))
     step = F.floor(F.log2("n") * 8).cast("int")  # sizes within 9 % count as one: some 150 rows at most
     rows = sorted(by_set.groupBy(step.alias("step")).agg(
         F.max("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("scan")).collect())
