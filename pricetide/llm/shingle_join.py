@@ -53,6 +53,8 @@ BLOCK = 256
 MEETINGS = 4
 #: Shingles in a hash range of the filter.
 RANGE = 1_500_000
+#: Bits of the bitmap that sifts ids: 4 MB, whatever the input.
+SIFT = 1 << 25
 #: Entries that a task collects before it sends them off.
 FLUSH = 1_000_000
 
@@ -167,6 +169,20 @@ def _class_of(digest):
     return F.conv(F.hex(turned), 16, -10).cast("long")
 
 
+def _sifted(texts: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id may be in ``left``: most others are gone before the join deals them out.
+
+    A bitmap of `SIFT` bits has a bit for the hash of each id, so what is broadcast has a fixed size.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SIFT))
+    sieve = left.select(bit("first_id").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    at = F.bitmap_bit_position(bit("id"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = texts.withColumn("bucket", F.bitmap_bucket_number(bit("id"))).join(F.broadcast(sieve), "bucket")
+    return met.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select("id", "text")
+
+
 def candidates(docs: DataFrame, classes: DataFrame, total: int, id_col: str, text_col: str, words: int) -> DataFrame:
     """(cid, digest, n, tokens) of the classes that may have a partner; ``total`` is the number of all shingles."""
     spark = docs.sparkSession
@@ -184,7 +200,7 @@ def candidates(docs: DataFrame, classes: DataFrame, total: int, id_col: str, tex
     left = materialize(classes.withColumn("class", _class_of(F.col("digest"))).join(counts, "class").filter(
         (F.col("n") > 1) & (F.col("shared") >= least)).select("digest", "first_id"))
     release(spark, sent)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = _sifted(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), left)
     read = texts.join(left, texts["id"].eqNullSafe(left["first_id"])).select("digest", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
