@@ -142,6 +142,15 @@ def test_the_class_number_is_that_of_the_tasks(spark):
         assert frame.select(shingle_join._class_of(F.col("digest"))).first()[0] == int.from_bytes(raw[:8], "little", signed=True)
 
 
+def test_sifting_loses_no_id(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "SIFT", 1 << 16)
+    texts = spark.createDataFrame([(i, f"t{i}") for i in [*range(3000), None]], "id long, text string")
+    left = spark.createDataFrame([(i,) for i in [*range(0, 3000, 7), None]], "first_id long")
+    found = {r.id for r in shingle_join._sifted(texts, left).collect()}
+    assert found >= {*range(0, 3000, 7), None} and len(found) < 600
+    assert shingle_join._sifted(texts, left.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, k) for k in range(6, 30)] + [(50, 50)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
