@@ -24,6 +24,16 @@ def test_stored_tables_are_released(spark):
     assert os.listdir(folder) == []
 
 
+def test_single_tables_are_released(spark):
+    folder = spark.conf.get("spark.checkpoint.dir") + "/pricetide"
+    release(spark)
+    first, second = materialize(spark.range(10).repartition(2, "id")), materialize(spark.range(5))
+    release(spark, first)
+    assert len(os.listdir(folder)) == 1 and second.count() == 5
+    release(spark)
+    assert os.listdir(folder) == []
+
+
 def test_tables_without_a_shared_folder(tmp_path):
     env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path)}
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
