@@ -174,7 +174,9 @@ def encode_long(parts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, o
         seams.join(lost, "row", "left_anti").select("row", "k", "start", "stop"), ["row", "k"])
     stitched = map_arrow(pieces, _encode_pieces(path, pattern, chunk), "row long, k int, ids binary").groupBy(
         "row").applyInPandas(_join_ids, "row long, ids binary")
-    whole = parts.join(lost, "row", "left_semi").select("row", "k", F.substring("part", 1, chunk).alias("part"))
+    # A text's last chunk has no successor that repeats its end, so it goes in whole.
+    own = F.when(F.col("k") < F.col("n") - 1, F.substring("part", 1, chunk)).otherwise(F.col("part"))
+    whole = parts.join(lost, "row", "left_semi").select("row", "k", own.alias("part"))
     whole = whole.groupBy("row").applyInPandas(_join_text, "row long, text string")
     return stitched.unionByName(map_arrow(whole, _encode_whole(path, pattern), "row long, ids binary"))
 

@@ -48,6 +48,17 @@ def test_stitched_chunks_equal_the_whole(spark, library, chunk, overlap):
     assert found == {i: library.encode_ordinary(t) for i, t in texts}
 
 
+@pytest.mark.parametrize("chunk,overlap", [(64, 24), (200, 50)])
+def test_runs_longer_than_an_overlap_keep_their_end(spark, library, chunk, overlap):
+    lengths = [chunk * m + r for m in (2, 3) for r in (0, 1, overlap // 2, overlap - 1, overlap, overlap + 1)]
+    texts = [(i, ("a" * n + " end.")[-n:]) for i, n in enumerate(lengths)]
+    texts += [(100 + i, "漢" * n) for i, n in enumerate(lengths)] + [(200 + i, " " * n) for i, n in enumerate(lengths)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    made = bpe.round_trip(frame, *CODEC, chunk=chunk, overlap=overlap).collect()
+    assert {r.doc_id: bytes(r.decoded).decode() for r in made} == dict(texts)
+    assert {r.doc_id: ids_of(r.ids) for r in made} == {i: library.encode_ordinary(t) for i, t in texts}
+
+
 def test_encoding_keeps_columns_and_takes_empty_tables(awkward, empty):
     made = bpe.encode(awkward, *CODEC)
     assert set(made.columns) == (set(awkward.columns) - {"text"}) | {"ids"}
