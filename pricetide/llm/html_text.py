@@ -5,8 +5,10 @@ id). Per path the blocks' text length, punctuation and link text are added up; a
 per block, its punctuation ratio the marks per block. Ratios are smoothed twice: paths below the same container
 share the container's totals (a heading counts with its paragraphs), and neighbouring containers in page order
 lend each other a little. The two are fused into one score, less what is link text and times what the path's
-element names say (an article counts more; menus, adverts, notices, forms and comments count nothing). Paths that
-reach `SHARE` of the page's best score are content, and their blocks are the text, in page order.
+element names say: an article counts more, and what is named like an advert, notice, comment or form counts less,
+unless the name is on an element that holds nearly all of the page's text. Such a name says nothing about an article
+below it. Menus, footers, asides and hidden elements count nothing. Paths that reach `SHARE` of the page's best
+score are content, and their blocks are the text, in page order.
 
 A page is one row and is handled where it lies: no shuffle, memory of one page at a time.
 
@@ -32,6 +34,10 @@ SHARE = 0.15
 #: Weight of the containers before and after a container in page order.
 NEIGHBOUR = 0.05
 ARTICLE_BOOST = 20.0
+#: What a hint in an element's name leaves of a score, outside articles and inside, where it is mostly a topic.
+HINTED, HINTED_INSIDE = 0.02, 0.2
+#: A hint on an element with this share of the page's text is one about the page's layout.
+LAYOUT = 0.8
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -48,8 +54,9 @@ _BLOCK = _words("""html body head article main section div p h1 h2 h3 h4 h5 h6 u
     tfoot tr td th caption blockquote pre figure figcaption address header footer nav aside form fieldset details
     summary hgroup center dialog menu search select option button svg object audio video canvas""")
 _CONTAINER = _words("html body article main section div td center figure blockquote")
-#: Elements that never hold main text, and class or id parts that mark such elements.
-_NEVER = _words("head nav footer aside form fieldset dialog menu search select option button svg object audio video canvas")
+#: Elements that never hold main text, and element names and class or id parts that hint at such elements.
+_NEVER = _words("head nav footer aside dialog menu search select option button svg object audio video canvas")
+_HINT_NAMES = _words("form fieldset")
 _HINTS = _words("""ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie
     cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription
     signup social share sharing related recommended recommendations sidebar widget menu navbar navigation nav
@@ -63,24 +70,33 @@ _KEEPS_P_OPEN = _words("html body head")
 
 
 class _Open:
-    """An open block element: its path, its container's path, and what it says about its text."""
+    """An open block element: its path, its containers' paths, and what it says about its text.
 
-    __slots__ = ("name", "path", "container", "never", "article")
+    ``hints`` are the elements around it with a hint in their name, from the last article on.
+    """
+
+    __slots__ = ("name", "path", "container", "never", "article", "hints")
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
         found = {a.lower(): (b or c or d) for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         label = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
         parts = {p.lower() for p in _PART.findall(label)}
         self.name = name
-        self.article = bool(parent and parent.article) or name in ("article", "main") or "main" in label.split()
+        starts = name in ("article", "main") or "main" in label.split()
+        self.article = bool(parent and parent.article) or starts
         outside = not self.article
         self.never = bool(
             parent and parent.never or name in _NEVER or outside and name == "header"
-            or name not in ("html", "body", "article", "main") and (parts & _HINTS or outside and parts & _PAGE_HINTS)
             or "hidden" in found or found.get("aria-hidden") == "true"
             or "display:none" in found.get("style", "").replace(" ", "").lower())
-        self.path = f"{parent.path if parent else ''}/{name}" + (f".{label.split()[0]}" if label.split() else "")
-        self.container = self.path if name in _CONTAINER or parent is None else parent.container
+        hint = not starts and name not in ("html", "body") and bool(
+            name in _HINT_NAMES or parts & _HINTS or outside and parts & _PAGE_HINTS)
+        self.path = (f"{parent.path if parent else ''}/{name}" + (f".{label.split()[0]}" if label.split() else "")
+                     + "*" * starts + "!" * hint)
+        self.container = self.path if name in _CONTAINER or hint or parent is None else parent.container
+        self.hints = () if starts or parent is None else parent.hints
+        if hint:
+            self.hints += (self.path,)
 
 
 def blocks(page: str) -> list[tuple[_Open, str, int]]:
@@ -144,15 +160,24 @@ def blocks(page: str) -> list[tuple[_Open, str, int]]:
 def main_text(page: str) -> tuple[str, int]:
     """The main text of a page and its number of blocks."""
     found = [b for b in blocks(page) if not b[0].never]
-    # Totals by container: blocks, characters, link characters, punctuation marks; in page order.
-    totals: dict[str, list[float]] = {}
+    # Totals by container: blocks, characters, link characters, punctuation marks, an element; in page order.
+    totals: dict[str, list] = {}
+    under: dict[str, int] = {}
     for element, text, linked in found:
-        t = totals.setdefault(element.container, [0, 0, 0, 0, ARTICLE_BOOST if element.article else 1.0])
+        t = totals.setdefault(element.container, [0, 0, 0, 0, element])
         t[0] += 1
         t[1] += len(text)
         t[2] += linked
         t[3] += len(_MARKS.findall(text))
-    fused = [boost * (chars / n) * (1 + marks / n) * (1 - linked / chars) for n, chars, linked, marks, boost in totals.values()]
+        for hint in element.hints:
+            under[hint] = under.get(hint, 0) + len(text)
+    layout = LAYOUT * sum(len(text) for _, text, _ in found)
+    fused = []
+    for n, chars, linked, marks, element in totals.values():
+        factor = ARTICLE_BOOST if element.article else 1.0
+        if any(under[hint] < layout for hint in element.hints):
+            factor *= HINTED_INSIDE if element.article else HINTED
+        fused.append(factor * (chars / n) * (1 + marks / n) * (1 - linked / chars))
     smooth = [v + NEIGHBOUR * ((fused[i - 1] if i else 0) + (fused[i + 1] if i + 1 < len(fused) else 0))
               for i, v in enumerate(fused)]
     least = SHARE * max(smooth, default=0)

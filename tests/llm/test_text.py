@@ -143,6 +143,27 @@ def test_main_text(name):
     assert html_text.main_text(PAGES[name][0])[0] == PAGES[name][1]
 
 
+PROSE = "This is a long sentence of the article, and it goes on; there is more of it. " * 4
+ADVERT = '<div class="ad">Buy, now!</div>'
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "nav-fixed", "with-comments", "form-page", "noSidebar"])
+def test_names_on_wrappers_do_not_lose_the_page(name):
+    text = f"Title\n{PROSE.strip()}\n{PROSE.strip()}"
+    inner = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    for page in (f'<body><div class="{name}"><article>{inner}</article>{ADVERT}</div></body>',
+                 f'<body><div class="{name}"><div class="text">{inner}</div>{ADVERT}</div></body>',
+                 f'<body class="x"><div id="{name}">{inner}{ADVERT}</div></body>',
+                 f'<body><form id="aspnet"><div class="{name}"><main>{inner}</main></div></form></body>'):
+        assert html_text.main_text(page)[0] == text
+
+
+@pytest.mark.parametrize("name", ["social-history", "notice", "reply"])
+def test_named_sections_of_an_article_stay(name):
+    page = f'<article><p>{PROSE}</p><section class="{name}"><p>{PROSE}</p></section>{ADVERT}</article>'
+    assert html_text.main_text(page)[0] == f"{PROSE.strip()}\n{PROSE.strip()}"
+
+
 def test_extract_handles_nulls_and_clashes(spark):
     pages = spark.createDataFrame([(1, "u", PAGES["plain"][0], "x"), (None, None, None, None), (1, "u", "", "y")],
                                   "page_id long, url string, html string, text string")
