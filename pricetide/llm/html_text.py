@@ -2,13 +2,16 @@
 
 A page is read once into blocks of text, each with its path of block elements from the root (names with class or
 id). Per path the blocks' text length, punctuation and link text are added up; a path's length ratio is its text
-per block, its punctuation ratio the marks per block. Ratios are smoothed twice: paths below the same container
-share the container's totals (a heading counts with its paragraphs), and neighbouring containers in page order
-lend each other a little. The two are fused into one score, less what is link text and times what the path's
-element names say: an article counts more, and what is named like an advert, notice, comment or form counts less,
-unless the name is on an element that holds nearly all of the page's text. Such a name says nothing about an article
-below it. Menus, footers, asides and hidden elements count nothing. Paths that reach `SHARE` of the page's best
-score are content, and their blocks are the text, in page order.
+per block, its punctuation ratio the marks per block. Both ratios are smoothed twice: a path's are averaged with
+those of its container (a heading counts with its paragraphs), and neighbouring paths in page order lend each
+other a little. The two are fused into one score, less what is link text and times what the path's elements say:
+an article counts more, and what is named like an advert, notice, comment or form counts less, unless the name is
+on an element that holds nearly all of the page's text. Such a name says nothing about an article below it.
+
+Paths that reach `SHARE` of the page's best score are content. So is all else in an article or main element with
+such a path, but for named parts that do not reach it themselves, and outside articles what lies in a container
+that holds such a path and is mostly not link text: cells, captions, quotes and short sections stay with their
+text. Menus, footers, asides and hidden elements are never content. The text is the blocks in page order.
 
 A page is one row and is handled where it lies: no shuffle, memory of one page at a time.
 
@@ -38,6 +41,8 @@ ARTICLE_BOOST = 20.0
 HINTED, HINTED_INSIDE = 0.02, 0.2
 #: A hint on an element with this share of the page's text is one about the page's layout.
 LAYOUT = 0.8
+#: Share of link text from which a path below a content container is not taken along.
+LINKED = 0.5
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -72,10 +77,11 @@ _KEEPS_P_OPEN = _words("html body head")
 class _Open:
     """An open block element: its path, its containers' paths, and what it says about its text.
 
-    ``hints`` are the elements around it with a hint in their name, from the last article on.
+    ``hints`` are the elements around it with a hint in their name, from the last article on; ``scope`` is the path
+    of the nearest article, or of the nearest element with a hint inside it.
     """
 
-    __slots__ = ("name", "path", "container", "never", "article", "hints")
+    __slots__ = ("name", "path", "container", "around", "never", "article", "hints", "scope")
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
         found = {a.lower(): (b or c or d) for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -94,9 +100,14 @@ class _Open:
         self.path = (f"{parent.path if parent else ''}/{name}" + (f".{label.split()[0]}" if label.split() else "")
                      + "*" * starts + "!" * hint)
         self.container = self.path if name in _CONTAINER or hint or parent is None else parent.container
+        # Containers whose text may take this element's along: not beyond a hint, and not the page itself.
+        self.around = () if parent is None or starts or hint or name in ("html", "body") else parent.around
+        if self.container == self.path and name not in ("", "html", "body"):
+            self.around += (self.path,)
         self.hints = () if starts or parent is None else parent.hints
         if hint:
             self.hints += (self.path,)
+        self.scope = self.path if starts or hint and self.article else parent.scope if parent else None
 
 
 def blocks(page: str) -> list[tuple[_Open, str, int]]:
@@ -157,32 +168,58 @@ def blocks(page: str) -> list[tuple[_Open, str, int]]:
     return out
 
 
+class _Sums:
+    """Blocks, characters, link characters and punctuation marks of a path or container."""
+
+    __slots__ = ("n", "chars", "linked", "marks")
+
+    def __init__(self):
+        self.n = self.chars = self.linked = self.marks = 0
+
+    def add(self, chars: int, linked: int, marks: int) -> None:
+        self.n += 1
+        self.chars += chars
+        self.linked += linked
+        self.marks += marks
+
+
+def _smoothed(values: list[float]) -> list[float]:
+    """Each value with a little of the ones before and after it."""
+    padded = [0.0, *values, 0.0]
+    return [v + NEIGHBOUR * (padded[i] + padded[i + 2]) for i, v in enumerate(values)]
+
+
 def main_text(page: str) -> tuple[str, int]:
     """The main text of a page and its number of blocks."""
     found = [b for b in blocks(page) if not b[0].never]
-    # Totals by container: blocks, characters, link characters, punctuation marks, an element; in page order.
-    totals: dict[str, list] = {}
+    # Paths in page order, each with an element that has it.
+    paths: dict[str, tuple[_Open, _Sums]] = {}
+    containers: dict[str, _Sums] = {}
     under: dict[str, int] = {}
     for element, text, linked in found:
-        t = totals.setdefault(element.container, [0, 0, 0, 0, element])
-        t[0] += 1
-        t[1] += len(text)
-        t[2] += linked
-        t[3] += len(_MARKS.findall(text))
+        sums = len(text), linked, len(_MARKS.findall(text))
+        paths.setdefault(element.path, (element, _Sums()))[1].add(*sums)
+        containers.setdefault(element.container, _Sums()).add(*sums)
         for hint in element.hints:
             under[hint] = under.get(hint, 0) + len(text)
     layout = LAYOUT * sum(len(text) for _, text, _ in found)
-    fused = []
-    for n, chars, linked, marks, element in totals.values():
+    pairs = [(own, containers[element.container]) for element, own in paths.values()]
+    lengths = _smoothed([(own.chars / own.n + near.chars / near.n) / 2 for own, near in pairs])
+    marks = _smoothed([(own.marks / own.n + near.marks / near.n) / 2 for own, near in pairs])
+    scores = {}
+    for (path, (element, own)), length, mark in zip(paths.items(), lengths, marks):
         factor = ARTICLE_BOOST if element.article else 1.0
         if any(under[hint] < layout for hint in element.hints):
             factor *= HINTED_INSIDE if element.article else HINTED
-        fused.append(factor * (chars / n) * (1 + marks / n) * (1 - linked / chars))
-    smooth = [v + NEIGHBOUR * ((fused[i - 1] if i else 0) + (fused[i + 1] if i + 1 < len(fused) else 0))
-              for i, v in enumerate(fused)]
-    least = SHARE * max(smooth, default=0)
-    content = {c for c, v, own in zip(totals, smooth, fused) if v >= least and own > 0}
-    kept = [text for element, text, _ in found if element.container in content]
+        scores[path] = factor * length * (1 + mark) * (1 - own.linked / own.chars)
+    least = SHARE * max(scores.values(), default=0)
+    content = {path for path, score in scores.items() if score >= least and score > 0}
+    scopes = {paths[path][0].scope for path in content} - {None}
+    held = {paths[path][0].container for path in content}
+    for path, (element, own) in paths.items():
+        if element.scope in scopes or element.scope is None and own.linked < LINKED * own.chars and held.intersection(element.around):
+            content.add(path)
+    kept = [text for element, text, _ in found if element.path in content]
     return "\n".join(kept), len(kept)
 
 

@@ -164,6 +164,24 @@ def test_named_sections_of_an_article_stay(name):
     assert html_text.main_text(page)[0] == f"{PROSE.strip()}\n{PROSE.strip()}"
 
 
+@pytest.mark.parametrize("around", ["article", "main", 'div class="text"'])
+def test_small_parts_stay_with_their_text(around):
+    parts = ("<figure><img src='x'><figcaption>A caption of a picture here.</figcaption></figure>",
+             "<table><tr><th>Year</th><td>1999</td><td>12</td></tr></table>", "<blockquote>Short quote</blockquote>",
+             "<section><h2>Coda</h2><p>The end</p></section>", "<ul><li>one</li><li>two</li></ul>", "<pre>x = 1</pre>")
+    page = (f"<body><div class='top'><a href='/'>Home</a> <a href='/b'>Blog</a></div><{around}><h1>Title</h1><p>{PROSE}</p>"
+            f"{''.join(parts)}<p>{PROSE}</p></{around.split()[0]}>{ADVERT}</body>")
+    assert html_text.main_text(page)[0].split("\n") == [
+        "Title", PROSE.strip(), "A caption of a picture here.", "Year", "1999", "12", "Short quote", "Coda", "The end", "one",
+        "two", "x = 1", PROSE.strip()]
+
+
+def test_paths_of_one_container_are_scored_apart():
+    links = "".join(f"<li><a href='/{i}'>Link number {i}, of many.</a></li>" for i in range(20))
+    found = html_text.main_text(f"<body><div><p>{PROSE}</p><ul>{links}</ul></div></body>")[0]
+    assert found == PROSE.strip()
+
+
 def test_extract_handles_nulls_and_clashes(spark):
     pages = spark.createDataFrame([(1, "u", PAGES["plain"][0], "x"), (None, None, None, None), (1, "u", "", "y")],
                                   "page_id long, url string, html string, text string")
