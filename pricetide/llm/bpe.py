@@ -182,17 +182,23 @@ def encode_long(parts: DataFrame, path: str, pattern: str, chunk: int = CHUNK, o
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK,
-           overlap: int = OVERLAP, then: tuple[Callable, object] | None = None) -> DataFrame:
+           overlap: int = OVERLAP, then: tuple[Callable, object] | None = None,
+           which: tuple[str, ...] = ("short", "long")) -> DataFrame:
     """The columns of ``docs`` without the text, and ``ids``: packed ids of the whole text by the rank file ``path``.
 
     ``then`` is (function, schema): what should be done with the encoded batches in the worker that made them, so
     that a task needs one Python process. The function is called with 0 for the short and 1 for the long texts, and
-    gives a `mapInArrow` function; its rows of ``schema`` are the result.
+    gives a `mapInArrow` function; its rows of ``schema`` are the result. ``which`` texts: those encoded where they lie
+    (short), those cut into chunks (long), or both; two calls with one each do the same as one call.
     """
     kept = [c for c in docs.columns if c not in (text_col, "ids")]
     text = free_name(docs, "text_read")
     wide = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text))
     short = wide.filter(F.length(text) <= chunk + overlap)
+    function, schema = then or (lambda _: None, short.drop(text).schema.add("ids", "binary"))
+    at_once = map_arrow(short, _encode_whole(path, pattern, function(0)), schema)
+    if "long" not in which:
+        return at_once
     long = wide.filter(F.length(text) > chunk + overlap).select(
         F.struct(*kept).alias("kept"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     count = F.ceil((F.length("text") - overlap) / F.lit(chunk)).cast("int")
@@ -203,11 +209,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
         F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part")).repartition("row", "k"))
     made = encode_long(parts.select("row", "k", "n", "part"), path, pattern, chunk, overlap)
     made = parts.filter("k = 0").select("kept", "row").join(made, "row").select("kept.*", "ids")
-    if then is None:
-        return map_arrow(short, _encode_whole(path, pattern), short.drop(text).schema.add("ids", "binary")).unionByName(made)
-    function, schema = then
-    return map_arrow(short, _encode_whole(path, pattern, function(0)), schema).unionByName(
-        map_arrow(materialize(made), function(1), schema))
+    if then is not None:
+        made = map_arrow(materialize(made), function(1), schema)
+    return at_once.unionByName(made) if "short" in which else made
 
 
 def _decoder(path: str, pattern: str, out: str):

@@ -10,6 +10,7 @@ from pricetide.llm import (
     bpe, exact_dedup, html_text, packing, quality_net, quality_rules, sharding, shingle_join, token_files, toxicity,
 )
 from pricetide.llm.common import documents, materialize
+from pricetide.session import passing, shared_folder
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +58,22 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat token files that Spark makes from all documents, then counted from the files alone."""
+    """Flat token files that Spark makes from all documents, then counted from the files alone.
+
+    The long documents' files come first, so that their chunks are gone when the others are written. Ids up to the
+    separator fit into two bytes.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    end_of_document = 50256
-    write = (lambda branch: token_files.block_writer(end_of_document, branch=branch, branches=2),
-             token_files.block_schema(docs.schema["doc_id"].dataType.simpleString()))
-    files = materialize(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, then=write))
-    return token_files.named(token_files.count_tokens(files, end_of_document), files)
+    end_of_document, width, folder, manifest = 50256, 2, shared_folder(spark), f"{shared_folder(spark)}/manifest"
+    write = (lambda branch: token_files.file_writer(folder, end_of_document, width, branch=branch, branches=2),
+             token_files.manifest_schema(docs.schema["doc_id"].dataType.simpleString()))
+    for which in "long", "short":
+        with passing(spark):
+            bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, then=write,
+                       which=(which,)).write.mode("append").parquet(manifest)
+    manifest = spark.read.parquet(manifest)
+    files = manifest.groupBy("file").agg(F.sum("size").alias("length"))
+    return token_files.named(token_files.count_files(files, end_of_document, width), manifest)
 
 
 def op9_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:

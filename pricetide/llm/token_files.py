@@ -1,7 +1,8 @@
 """Token counts of the documents in flat token files by scanning for separators.
 
 A flat file is a run of fixed-width token ids in which each document ends with an end-of-document id; there is no
-index. Files are read as blocks (file, block, data). Each block is searched for separators in one vector
+index. Files are read as blocks (file, block, data): byte ranges of fixed size, each opened, sought and read by the
+task that searches it, so that a file of any size is dealt over many tasks. Each block is searched for separators in one vector
 comparison; what is known of a block is then its size, its separators, and nothing about the blocks before. A
 prefix scan over the blocks of a file stitches them: running sums give each block's place and the number of
 documents that ended before it, a running maximum gives the last separator before it, which is where the document
@@ -15,7 +16,9 @@ length is no multiple of the width fails.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +29,53 @@ from pricetide.llm.common import map_arrow, materialize
 
 GROUP = 1_024
 BLOCK_TOKENS = 1 << 18
+#: Blocks that one task reads at most.
+TASK_BLOCKS = 64
+
+
+def _store(file: str):
+    """The store that holds ``file`` and the path as that store takes it, for use in tasks."""
+    from pyarrow import fs
+
+    if "://" not in file or file.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", file)
+    return fs.FileSystem.from_uri(quote(re.sub("^s3[an]:", "s3:", file), safe=":/@"))
+
+
+def byte_ranges(files: DataFrame, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(file, block, at, size) of the blocks of ``files`` (file, length in bytes), dealt over tasks."""
+    spark, size = files.sparkSession, width * block_tokens
+    n = F.ceil(F.col("length") / size).cast("long")
+    total = files.agg(F.sum(n)).first()[0] or 0
+    tasks = max(1, min(total, spark.sparkContext.defaultParallelism), -(-total // TASK_BLOCKS))
+    cut = files.filter("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"))
+    at = F.col("block") * size
+    return cut.select("file", "block", at.alias("at"), F.least(F.lit(size).cast("long"), F.col("length") - at).alias("size")).repartition(
+        tasks, "file", "block")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of byte ranges, one at a time."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            store, path = _store(row["file"])
+            with store.open_input_file(path) as source:
+                source.seek(row["at"])
+                data = source.read(row["size"])
+            if len(data) != row["size"]:
+                raise OSError(f"{row['file']} ends within block {row['block']}")
+            yield pa.RecordBatch.from_pydict({"file": pa.array([row["file"]]), "block": pa.array([row["block"]], pa.int64()),
+                                              "data": pa.array([data], pa.binary())})
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of the files that ``path`` matches; none is opened."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
 
 
 def read_blocks(spark: SparkSession, path: str, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file string, block long, data) of the flat files that ``path`` matches, each at most 2 GB."""
-    size = width * block_tokens
-    files = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("file"), "content", F.ceil(F.col("length") / size).cast("int").alias("n"))
-    return files.filter("n > 0").select("file", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b")).select(
-        "file", F.col("b").cast("long").alias("block"),
-        F.substring("content", F.col("b") * size + 1, F.lit(size)).alias("data"))
+    """(file string, block long, data) of the flat files that ``path`` matches, of any size."""
+    return map_arrow(byte_ranges(listed(spark, path), width, block_tokens), _read, "file string, block long, data binary")
 
 
 def block_schema(kind: str) -> str:
@@ -69,6 +109,41 @@ def block_writer(separator: int, block_tokens: int = BLOCK_TOKENS, branch: int =
     return write
 
 
+def manifest_schema(kind: str) -> str:
+    return f"file string, size long, first long, ids array<{kind}>"
+
+
+def file_writer(folder: str, separator: int, width: int, block_tokens: int = BLOCK_TOKENS, branch: int = 0, branches: int = 1):
+    """Batches of (id, packed ids) to one flat file a task in ``folder``, and to its manifest, a row for each block.
+
+    The file's name has the task's attempt in it: the manifest names the files of the attempts that counted.
+    """
+    blocks, most = block_writer(separator, block_tokens, branch, branches), (1 << 8 * width) - 1
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context, out = TaskContext.get(), None
+        name = f"{folder}/part-{branch}-{context.partitionId()}-{context.taskAttemptId()}.bin"
+        store, path = _store(name)
+        try:
+            for made in blocks(batches):
+                tokens = np.frombuffer(made.column("data")[0].as_py(), "<u4")
+                if tokens.max() > most:
+                    raise ValueError(f"token {tokens.max()} needs more than {width} bytes")
+                data = tokens.astype(f"<u{width}").tobytes()
+                out = out or store.open_output_stream(path)
+                out.write(data)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([len(data)], pa.int64()), made.column("first"), made.column("ids")],
+                    names=["file", "size", "first", "ids"])
+        finally:
+            if out is not None:
+                out.close()
+
+    return write
+
+
 def write_blocks(encoded: DataFrame, separator: int, id_col: str = "doc_id", ids_col: str = "ids",
                  block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One flat file for each task: (file, block, data, first, ids) from packed 32-bit ids.
@@ -123,8 +198,21 @@ def stitched(found: DataFrame) -> DataFrame:
 def count_tokens(blocks: DataFrame, separator: int, width: int = 4) -> DataFrame:
     """(file, ordinal, start, n_tokens, closed) of every document in the files, the separator not counted."""
     kind = blocks.schema["file"].dataType.simpleString()
-    found = materialize(map_arrow(blocks.select("file", "block", "data"), _search(separator, width),
-                                  f"file {kind}, block long, size long, ends array<long>"))
+    return _counted(map_arrow(blocks.select("file", "block", "data"), _search(separator, width), _found(kind)))
+
+
+def count_files(files: DataFrame, separator: int, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """`count_tokens` of ``files`` (file, length in bytes), which are read and searched in the same worker."""
+    search = _search(separator, width)
+    return _counted(map_arrow(byte_ranges(files, width, block_tokens), lambda ranges: search(_read(ranges)), _found("string")))
+
+
+def _found(kind: str) -> str:
+    return f"file {kind}, block long, size long, ends array<long>"
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    found = materialize(found)
     placed = materialize(stitched(found).join(found.select("file", "block", "ends"), ["file", "block"]))
     ended = placed.select("file", "place", "before", "opened", "ends", F.posexplode("ends").alias("i", "end")).select(
         "file", (F.col("before") + F.col("i")).alias("ordinal"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +35,9 @@ def build_session(app_name: str = "pricetide", master: str | None = None, **conf
 #: With it, a job's shuffle files go when its write has ended; nothing reads them again. Unknown to Spark before 4.1.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: What `materialize` has made in this process and `release` has not removed yet: (session, table, path or None).
-_MADE: list[tuple[SparkSession, DataFrame, str | None]] = []
+#: What `materialize` and `shared_folder` have made in this process and `release` has not removed yet: (session, table
+#: or None for a folder, path or None).
+_MADE: list[tuple[SparkSession, DataFrame | None, str | None]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -84,6 +87,30 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
             files.delete(where, True)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Releases at its end the tables that `materialize` has stored for ``spark`` within it."""
+    before = {id(table) for _, table, _ in _MADE}
+    yield
+    made = [table for session, table, _ in _MADE if session is spark and table is not None and id(table) not in before]
+    if made:
+        release(spark, *made)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all tasks reach, in ``spark.checkpoint.dir`` or else the warehouse.
+
+    A `release` of all tables removes it; it also goes when the driver's JVM ends.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    files, where = _files(spark, f"{folder.rstrip('/')}/pricetide/{uuid.uuid4().hex}")
+    where = files.makeQualified(where)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    _MADE.append((spark, None, where.toString()))
+    return where.toString()
+
+
 def _files(spark: SparkSession, path: str):
     """The store that holds ``path`` and the path as that store's API takes it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

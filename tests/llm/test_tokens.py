@@ -101,6 +101,38 @@ def test_real_files_open_ends_and_two_levels(spark, tmp_path, monkeypatch):
     assert {(r.file.rsplit("/")[-1][:-4], r.ordinal, r.start, r.n_tokens, r.closed) for r in found} == expected
 
 
+def test_counts_from_flat_files_on_disk(spark, docs, awkward, tmp_path):
+    for k, frame in enumerate((docs.limit(60), awkward)):
+        lengths = Counter((r.doc_id, len(r.ids) // 4) for r in bpe.encode(frame.select("doc_id", "text"), *CODEC).collect())
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        write = (lambda branch: token_files.file_writer(f"file:{folder}", 50256, 2, 64, branch, 2),  # noqa: B023
+                 token_files.manifest_schema("bigint"))
+        for which in "long", "short":
+            bpe.encode(frame.select("doc_id", "text"), *CODEC, then=write, which=(which,)).write.mode("append").parquet(
+                f"{tmp_path}/manifest{k}")
+        manifest = spark.read.parquet(f"{tmp_path}/manifest{k}")
+        files = token_files.listed(spark, f"{folder}/*.bin")
+        assert files.agg({"length": "sum"}).first()[0] == 2 * sum((n + 1) * c for (_, n), c in lengths.items())
+        sizes = manifest.groupBy("file").agg({"size": "sum"}).toDF("file", "length")
+        counts = token_files.named(token_files.count_files(sizes, 50256, 2, 64), manifest)
+        assert Counter((r.doc_id, r.n_tokens) for r in counts.collect()) == lengths
+
+
+def test_a_file_beyond_the_size_of_a_cell_is_counted(spark, tmp_path):
+    places = [5, (1 << 30) - 1, (1 << 30) + 100]
+    with open(tmp_path / "large.bin", "wb") as out:  # Over 2 GB, nearly all of it a hole.
+        out.truncate(2 * (1 << 30) + 1000)
+        for at in places:
+            out.seek(2 * at)
+            out.write(np.array([9], "<u2").tobytes())
+    files = token_files.listed(spark, f"{tmp_path}/*.bin")
+    found = token_files.count_files(files, 9, 2, 1 << 24).orderBy("ordinal").collect()
+    starts = [0, *[at + 1 for at in places]]
+    assert [(r.start, r.n_tokens, r.closed) for r in found] == [
+        (a, b - a, b in places) for a, b in zip(starts, [*places, (1 << 30) + 500])]
+
+
 def check_packing(counts, capacity, patterns):
     used = Counter()
     for times, lengths in patterns:
