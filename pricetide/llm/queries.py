@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.llm import (
-    bpe, exact_dedup, html_text, packing, quality_net, quality_rules, sharding, shingle_join, token_files, toxicity,
+    bpe, exact_dedup, html_text, packing, quality_net, quality_rules, sharding, shingle_join, token_files, topk, toxicity,
+    whitening,
 )
 from pricetide.llm.common import documents, materialize
 from pricetide.session import passing, shared_folder
@@ -89,9 +90,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0).select(
+        F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained",
+        "identity_error")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_sharding, op2_exact_dedup, op3_bpe, op4_packing, op5_html_text, op6_toxicity, op7_shingle_join,
-    op8_token_counts, op9_quality_net, op10_quality_rules)}
+    op8_token_counts, op9_quality_net, op10_quality_rules,
+    op11_topk, op13_whitening)}
 
 ORACLE = {
     "op2_exact_dedup": """
@@ -99,4 +112,18 @@ ORACLE = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_topk": """
+        WITH whole AS (
+            SELECT vec_id, row_number() OVER () AS r,
+                   list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, q.r AS asked, c.vec_id AS vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
 }
