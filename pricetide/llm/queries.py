@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.llm import (
-    bpe, exact_dedup, html_text, packing, quality_net, quality_rules, sharding, shingle_join, token_files, topk, toxicity,
-    whitening,
+    bpe, conversations, exact_dedup, html_text, packing, quality_net, quality_rules, sharding, shingle_join, token_files, topk,
+    toxicity, whitening,
 )
 from pricetide.llm.common import documents, materialize
 from pricetide.session import passing, shared_folder
@@ -95,6 +95,11 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.digested(rows, conversations.plan(rows, "gone"), "gone")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(
         "vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained",
@@ -104,7 +109,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (
     op1_sharding, op2_exact_dedup, op3_bpe, op4_packing, op5_html_text, op6_toxicity, op7_shingle_join,
     op8_token_counts, op9_quality_net, op10_quality_rules,
-    op11_topk, op13_whitening)}
+    op11_topk, op12_conversations, op13_whitening)}
 
 ORACLE = {
     "op2_exact_dedup": """
