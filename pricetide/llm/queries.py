@@ -131,4 +131,68 @@ ORACLE = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    # A path per state after every row: the least (cost, edits), with the turns that it leaves.
+    "op12_conversations": r"""
+        WITH RECURSIVE marked AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(
+                           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, byte: xor(crc >> 8, list_reduce([xor(crc, byte) & 255, 0, 0, 0, 0, 0, 0, 0, 0],
+                           lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))), 4294967295) % 20 AS kind
+            FROM conversations
+        ), damaged AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM marked WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+                   right(rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 1) AS last FROM damaged
+        ), faults AS (
+            SELECT conv_id, turn, role, text, i, left(role, 1) AS initial, last = '' AS blank, last <> '' AND nth > 1 AS duplicate,
+                   last <> '' AND nth = 1 AND last NOT IN ('.', '!', '?') AS truncated,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+            FROM placed
+        ), report AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                   count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM faults GROUP BY conv_id
+        ), moves(before, edit, initial, after, base) AS (
+            SELECT * FROM (VALUES ('', 'D', NULL, '', 3), ('s', 'D', NULL, 's', 3), ('u', 'D', NULL, 'u', 3), ('a', 'D', NULL, 'a', 3),
+                ('', 'K', 's', 's', 0), ('', 'K', 'u', 'u', 0), ('s', 'K', 'u', 'u', 0), ('a', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'a', 0),
+                ('', 'R', NULL, 'u', 2), ('s', 'R', NULL, 'u', 2), ('a', 'R', NULL, 'u', 2), ('u', 'R', NULL, 'a', 2)) v
+        ), added(before, edits, after, base) AS (
+            SELECT * FROM (VALUES ('', '', '', 0), ('s', '', 's', 0), ('u', '', 'u', 0), ('a', '', 'a', 0),
+                ('', 'I', 'u', 2), ('s', 'I', 'u', 2), ('a', 'I', 'u', 2), ('u', 'I', 'a', 2),
+                ('', 'II', 'a', 4), ('s', 'II', 'a', 4)) v
+        ), paths AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, '' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit,
+                   CAST([] AS STRUCT(role VARCHAR, text VARCHAR)[]) AS turns FROM report
+            UNION ALL
+            SELECT conv_id, i, state, least_.cost, least_.audit, least_.turns FROM (
+                SELECT p.conv_id, r.i, m.after AS state, min({'cost': p.cost + a.base + m.base + CASE WHEN r.truncated AND m.edit <> 'D' THEN 1 ELSE 0 END,
+                           'audit': p.audit || a.edits || m.edit,
+                           'turns': list_concat(p.turns,
+                               list_transform(string_split(a.edits, ''), lambda c, k: {'role': CASE WHEN p.state = 'u' AND k % 2 = 1 OR p.state <> 'u' AND k % 2 = 0 THEN 'assistant' ELSE 'user' END, 'text': ''})[:length(a.edits)],
+                               CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [{'role': r.role, 'text': r.text}]
+                                   ELSE [{'role': CASE m.after WHEN 'u' THEN 'user' ELSE 'assistant' END, 'text': r.text}] END)}) AS least_
+                FROM paths p JOIN faults r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+                JOIN added a ON a.before = p.state JOIN moves m ON m.before = a.after
+                WHERE (m.initial IS NULL OR m.initial = r.initial) AND (m.edit = 'D' OR NOT (r.blank OR r.duplicate))
+                GROUP BY p.conv_id, r.i, m.after)
+        ), ends AS (
+            SELECT p.conv_id, min({'cost': p.cost + a.base, 'audit': p.audit || a.edits, 'turns': list_concat(p.turns,
+                       list_transform(string_split(a.edits, ''), lambda c, k: {'role': CASE WHEN p.state = 'u' AND k % 2 = 1 OR p.state <> 'u' AND k % 2 = 0 THEN 'assistant' ELSE 'user' END, 'text': ''})[:length(a.edits)])}) AS best
+            FROM paths p JOIN report r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.i JOIN added a ON a.before = p.state
+            WHERE a.after IN ('', 'a') GROUP BY p.conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+               coalesce(best.audit, '') AS audit,
+               sha256(coalesce(array_to_string(list_transform(best.turns, lambda t: t.role || ':' || t.text), chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN report r ON r.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
 }
