@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import re
 
+from pricetide.config import FEATURES
+
 ROUNDING_SHIFT = 0.0137
 
 ORACLE: dict[str, str] = {}
 
 TRAIN_END, VAL_END, SEED = "DATE '2000-01-10'", "DATE '2000-04-10'", 42
 MULTIPLIERS = [0.9, 0.95, 1.0, 1.05, 1.1]
-TREND = [("day_of_week_sin", 6), ("day_of_week_cos", 6), ("month_sin", 6), ("month_cos", 6)]
-ROLLING = ["rolling_mean_7_units", "rolling_mean_28_units", "rolling_std_7_units", "rolling_std_28_units"]
-LAGS = ["lag_1_units", "lag_7_units", "lag_14_units", "lag_28_units"]
-FEATURES = ["avg_price", "total_sales", *[c for c, _ in TREND], *LAGS, *ROLLING, "price_change_pct",
-            "day_of_month", "week_of_year", "is_weekend", "days_since_price_change", "price_position"]
+TREND, LAGS, ROLLING = FEATURES[2:6], FEATURES[6:10], FEATURES[10:14]
 
 
 def tx(product: str = "supplier") -> str:
@@ -117,7 +115,7 @@ def features(source: str = "daily") -> str:
 
 
 def split_features(source: str = "daily") -> str:
-    return features(source) + f""", parts AS (
+    return features(source) + f""", parts AS MATERIALIZED (
   SELECT *, CASE WHEN d <= {TRAIN_END} THEN 'train' WHEN d <= {VAL_END} THEN 'val' ELSE 'test' END AS split FROM feat)"""
 
 
@@ -127,7 +125,7 @@ def rounds(columns, places: int) -> str:
 
 ORACLE["calendar_features"] = f"""WITH {tx()}, c AS (SELECT d, {CALENDAR} FROM (SELECT DISTINCT d FROM tx))
 SELECT d AS "SHOP_DATE", day_of_week, month, year, day_of_month, week_of_year, is_weekend,
-  {rounds([c for c, _ in TREND], 6)} FROM c"""
+  {rounds(TREND, 6)} FROM c"""
 ORACLE["lag_features"] = f"""WITH {daily()}, {features()}
 SELECT d AS "SHOP_DATE", p AS "PROD_CODE", total_units, {', '.join(LAGS)} FROM feat"""
 ORACLE["rolling_features"] = f"""WITH {daily()}, {features()}
@@ -141,7 +139,7 @@ SELECT d AS "SHOP_DATE", p AS "PROD_CODE", days_since_price_change AS row_index,
 def feature_output(product: str) -> str:
     return f"""WITH {daily(product)}, {features()}
 SELECT d AS "SHOP_DATE", p AS "PROD_CODE", total_units, wk AS "SHOP_WEEK", day_of_week, month, year,
-  round(avg_price, 6) AS avg_price, round(total_sales, 2) AS total_sales, {rounds([c for c, _ in TREND], 6)},
+  round(avg_price, 6) AS avg_price, round(total_sales, 2) AS total_sales, {rounds(TREND, 6)},
   {', '.join(LAGS)}, {rounds(ROLLING, 6)}, {rounds(['price_change_pct', 'price_position'], 6)},
   day_of_month, week_of_year, is_weekend, days_since_price_change FROM feat"""
 
@@ -190,15 +188,19 @@ def scaled_value(c: str) -> str:
     return f"CAST(CAST(({single(c)} - center_{c}) / scale_{c} AS FLOAT) AS DOUBLE)"
 
 
-SCALED = ", ".join(f"round(coalesce({scaled_value(c)}, 0.0), 3) AS {c}" for c in FEATURES)
-ORACLE["scaled_panel"] = f"""WITH {daily()}, {split_features()}, {wide_stats()}
-SELECT split, d AS "SHOP_DATE", p AS product_id, total_units, {SCALED} FROM parts, wide"""
+def scaled_output(source: str) -> str:
+    """Scaled rows, made once; the outer select only rounds."""
+    return f"""{split_features(source)}, {wide_stats()}, scaled AS MATERIALIZED (
+  SELECT split, d, p, total_units, {', '.join(f'coalesce({scaled_value(c)}, 0.0) AS {c}' for c in FEATURES)} FROM parts, wide)
+SELECT split, d AS "SHOP_DATE", p AS product_id, total_units, {rounds(FEATURES, 3)} FROM scaled"""
+
+
+ORACLE["scaled_panel"] = f"WITH {daily()}, {scaled_output('daily')}"
 ORACLE["scaled_panel_without_warmup"] = f"""WITH {daily()}, {split_features()}, {wide_stats()}
 SELECT split, count(*) AS n_rows, {', '.join(f'round(avg({scaled_value(c)}), 3) AS {c}' for c in FEATURES)}
 FROM parts, wide WHERE {NOT_NULL} GROUP BY split"""
 ORACLE["prepared_top_products"] = f"""WITH {top('supplier', 'month', 20)}, kept AS (
-  SELECT * FROM daily WHERE p IN (SELECT p FROM top)), {split_features('kept')}, {wide_stats()}
-SELECT split, d AS "SHOP_DATE", p AS product_id, total_units, {SCALED} FROM parts, wide"""
+  SELECT * FROM daily WHERE p IN (SELECT p FROM top)), {scaled_output('kept')}"""
 ORACLE["unscaled_prices"] = f"""WITH {daily()} SELECT d AS "SHOP_DATE", p AS "PROD_CODE",
   round(avg_price, 5) AS avg_price FROM daily"""
 
@@ -439,6 +441,10 @@ def replicates(count: int) -> str:
 
 ORACLE["bootstrap_replicates"] = f"WITH {replicates(1000)} SELECT replicate, {SELECT_KPIS} FROM reps"
 
+# Every draw is a row here, so a product drawn twice is summed twice; days stay distinct.
+ORACLE["bootstrap_replicates_counted"] = (f"WITH {replicates(1000)} SELECT replicate, {SELECT_KPIS} FROM reps"
+                                          .replace("SELECT DISTINCT rep AS replicate", "SELECT rep AS replicate"))
+
 
 def bounds() -> str:
     return ", ".join(f"quantile_cont(CAST({k} AS DOUBLE), {q}::DOUBLE) AS {k}_{side}"
@@ -538,3 +544,40 @@ def shift_rounds(sql: str) -> str:
 
 
 ORACLE = {name: shift_rounds(sql) for name, sql in ORACLE.items()}
+
+
+# --- boosted trees: what is known for certain
+
+TEST_ROWS = f"(SELECT count(*) FROM (SELECT DISTINCT CAST(l_shipdate AS DATE), l_suppkey FROM lineitem WHERE l_shipdate > {VAL_END}))"
+
+ORACLE["boosted_demand_facts"] = f"""SELECT CAST(2000 AS INTEGER) AS trees, CAST(31 AS INTEGER) AS most_leaves,
+  {TEST_ROWS} AS rows, {TEST_ROWS} AS finite, true AS better_than_mean"""
+
+ORACLE["boosted_price_response"] = f"SELECT {TEST_ROWS} AS rows, " + ", ".join(
+    f"{TEST_ROWS} AS equal_{k}" for k in range(len(MULTIPLIERS)))
+
+ORACLE["continuous_best_price"] = f"""SELECT {TEST_ROWS} AS rows, {TEST_ROWS} AS inside, {TEST_ROWS} AS not_below_5,
+  {TEST_ROWS} AS not_below_41"""
+
+# --- stores and jobs: what went through a store is what went in
+
+ORACLE["stored_panel"] = ORACLE["daily_panel"]
+ORACLE["stored_top_products"] = f"""WITH {top('supplier', 'month', 100)} SELECT rank, p AS "PROD_CODE" FROM top"""
+ORACLE["stored_product_registry"] = ORACLE["product_registry"]
+ORACLE["raw_product_rows"] = f"""WITH {daily()} SELECT p AS product_id, count(*) AS n_days,
+  CAST(sum(units) AS BIGINT) AS total_units FROM daily GROUP BY p"""
+ORACLE["stored_scaler_stats"] = ORACLE["standard_scaler_stats"]
+ORACLE["stored_csv_report"] = ORACLE["daily_panel_by_brand"]
+ORACLE["stored_feature_names"] = "SELECT CAST(place AS INTEGER) AS place, feature FROM (VALUES " + ", ".join(
+    f"({k}, '{c}')" for k, c in enumerate(FEATURES)) + ") v(place, feature)"
+ORACLE["registry_job"] = f"""WITH {daily()}, {split_features()}, wide AS (
+  SELECT avg({single('total_sales')}) AS center_total_sales, stddev_pop({single('total_sales')}) AS scale_total_sales
+  FROM parts WHERE split = 'train')
+SELECT p AS product_id, CAST(dense_rank() OVER (ORDER BY p) - 1 AS INTEGER) AS dense_id, count(*) AS n_rows,
+  round(avg({scaled_value('total_sales')}), 3) AS avg_daily_revenue
+FROM parts, wide WHERE split = 'test' GROUP BY p"""
+ORACLE["prepare_data_job"] = ORACLE["prepared_top_products"]
+ORACLE["evaluate_policies_job"] = f"""WITH {backtest()} SELECT policy, count(*) AS n_rows, count(DISTINCT p) AS n_products,
+  min(next_d) AS first_date, max(next_d) AS last_date, true AS has_intervals FROM results GROUP BY policy"""
+ORACLE["evaluate_products_job"] = f"""SELECT count(DISTINCT l_suppkey) AS n_products, true AS adds_up FROM lineitem
+WHERE l_shipdate > {VAL_END}"""

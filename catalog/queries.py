@@ -14,17 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog.oracle import ROUNDING_SHIFT
 from pricetide.config import DATE, FEATURES, PRODUCT, PRODUCT_ID, TARGET, WEEK, Settings
-from pricetide.functions.numeric import improvement_pct
-from pricetide.operators import backtest, demand, episodes, evaluation, features, kpi, panel, pricing, registry, scaling, splits
+from pricetide.functions.numeric import improvement_pct, standardise
+from pricetide.operators import backtest, boosting, demand, episodes, evaluation, features, kpi, panel, pricing, registry, scaling, splits
 from pricetide.plans import evaluation as evaluation_plan
 from pricetide.plans import preparation
 from pricetide.schemas import standard_product_id
-from pricetide.session import materialize
-from pricetide.sources import transactions
+from pricetide.session import materialize, shared_folder
+from pricetide.sources import tables, transactions
 
 SETTINGS = replace(Settings(), train_end=dt.date(2000, 1, 10), val_end=dt.date(2000, 4, 10))
 SEED = SETTINGS.seed
-TREES = 10
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -527,14 +526,20 @@ def _kpi_columns() -> list[Column]:
 
 @query
 def policy_kpis(spark, sf):
-    return kpi.compute_kpis(materialize(results(spark, sf))).select(*_kpi_columns())
+    return kpi.compute_kpis(results(spark, sf)).select(*_kpi_columns())
 
 
 @query
 def bootstrap_replicates(spark, sf):
-    log = materialize(results(spark, sf))
-    parts = materialize(kpi.product_parts(log))
-    return kpi.bootstrap_replicates(log, parts, SETTINGS.bootstraps, SEED).select("replicate", *_kpi_columns())
+    parts = materialize(kpi.product_parts(results(spark, sf)))
+    return kpi.bootstrap_replicates(parts, SETTINGS.bootstraps, SEED).select("replicate", *_kpi_columns())
+
+
+@query
+def bootstrap_replicates_counted(spark, sf):
+    """A product drawn twice counts twice."""
+    parts = materialize(kpi.product_parts(results(spark, sf)))
+    return kpi.bootstrap_replicates(parts, SETTINGS.bootstraps, SEED, counted=True).select("replicate", *_kpi_columns())
 
 
 def _bounds() -> list[Column]:
@@ -543,13 +548,13 @@ def _bounds() -> list[Column]:
 
 @query
 def bootstrap_ci(spark, sf):
-    return kpi.bootstrap_intervals(materialize(results(spark, sf)), SETTINGS.bootstraps, SETTINGS.ci_level, SEED).select(
+    return kpi.bootstrap_intervals(results(spark, sf), SETTINGS.bootstraps, SETTINGS.ci_level, SEED).select(
         "policy", *_bounds())
 
 
 @query
 def policy_report(spark, sf):
-    report = kpi.kpi_report(materialize(results(spark, sf)), SETTINGS.bootstraps, SETTINGS.ci_level, SEED)
+    report = kpi.kpi_report(results(spark, sf), SETTINGS.bootstraps, SETTINGS.ci_level, SEED)
     return report.select(*_kpi_columns(), *_bounds())
 
 
@@ -629,17 +634,31 @@ def sales_improvement(spark, sf):
                          rounded(F.when(gain < float("inf"), gain), 4, "gain_pct"))
 
 
-# --- boosted trees (no SQL twin) ---------------------------------------------------------------
+# --- boosted trees -----------------------------------------------------------------------------
+
+#: Fitted models by application and folder: the queries below share one training.
+_FITTED: dict[tuple[str, str], boosting.BoostedTrees] = {}
+
 
 def boosted(spark: SparkSession, sf: str):
-    """Scaled rows, scaler table and a model trained on the training split."""
+    """Scaled rows, scaler table and the configured model, trained on the training split."""
     rows = materialize(feature_splits(spark, sf))
     train = splits.as_float32(rows.where("split = 'train'"), FEATURES)
     stats = materialize(scaling.fit_scalers(train, FEATURES))
     scaled = materialize(preparation.scaled_split(rows, stats, FEATURES))
-    model = demand.train_demand_model(scaled.where("split = 'train'"), n_trees=TREES, settings=replace(
-        SETTINGS, learning_rate=0.1))
-    return scaled, stats, model
+    known = spark.sparkContext.applicationId, sf
+    if known not in _FITTED:
+        _FITTED[known] = demand.train_demand_model(scaled.where("split = 'train'"), settings=SETTINGS)
+    return scaled, stats, _FITTED[known]
+
+
+def boosted_rows(spark: SparkSession, sf: str):
+    """Priced test rows with the unit cost, the scaler table and the model."""
+    scaled, stats, model = boosted(spark, sf)
+    constants = registry.median_prices(keyed(spark, sf), PRODUCT_ID)
+    rows = evaluation_plan.priced_rows(scaled.where("split = 'test'").drop("split"), stats) \
+        .join(constants, PRODUCT_ID, "left").withColumn("unit_cost", pricing.unit_cost(F.col("median_price"), SETTINGS.policy_cost))
+    return rows, stats, model
 
 
 @query
@@ -649,6 +668,57 @@ def boosted_demand_quality(spark, sf):
     return demand.model_quality(rows).select(rounded("r2", 4), rounded("mae", 4), rounded("rmse", 4))
 
 
+@query
+def boosted_demand_facts(spark, sf):
+    """What is known for certain of the configured model: its size, a finite prediction for every test row, and a smaller
+    absolute error there than the product's mean over the training rows has."""
+    scaled, _, model = boosted(spark, sf)
+    means = scaled.where("split = 'train'").groupBy(PRODUCT_ID).agg(F.avg(TARGET).alias("mean_units"))
+    rows = demand.predict(model, scaled.where("split = 'test'")).join(means, PRODUCT_ID, "left")
+    p = F.col("prediction")
+    return rows.agg(
+        F.lit(len(model.trees)).alias("trees"), F.lit(max(len(t.values) for t in model.trees)).alias("most_leaves"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(p) < float("inf")).alias("finite"),
+        (F.avg(F.abs(F.col(TARGET) - p)) < F.avg(F.abs(F.col(TARGET) - F.coalesce("mean_units", F.lit(0.0))))).alias("better_than_mean"))
+
+
+@query
+def boosted_price_response(spark, sf):
+    """Five candidate prices read off the step function of price equal five full predictions, for every test row."""
+    rows, stats, model = boosted_rows(spark, sf)
+    center, scale = scaling.scaler_values(stats, ["avg_price"])["avg_price"]
+    actions = SETTINGS.multipliers
+    scorer = demand.tree_scorer(model, stats)
+    df = rows.where(F.col("price").isNotNull()).withColumns({f"p{k}": F.col("price") * a for k, a in enumerate(actions)})
+    df = scorer.predict(scorer.prepare(df), {f"p{k}": f"u{k}" for k in range(len(actions))})
+    plain = demand.model_inputs(df, model.features)
+    at = model.features.index("avg_price")
+    for k in range(len(actions)):
+        inputs = [*plain[:at], standardise(F.col(f"p{k}"), center, scale), *plain[at + 1:]]
+        df = df.withColumn(f"full{k}", boosting.scores(model, inputs))
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.abs(F.col(f"u{k}") - F.col(f"full{k}")) < 1e-8).alias(f"equal_{k}") for k in range(len(actions))])
+
+
+@query
+def continuous_best_price(spark, sf):
+    """The exact best price between the lowest and highest action against the best of 5 and of 41 candidates."""
+    rows, stats, model = boosted_rows(spark, sf)
+    price, low, high = F.col("price"), SETTINGS.action_low, SETTINGS.action_high
+    rows = rows.where((price > 0) & F.col("median_price").isNotNull())
+    df = demand.price_steps(rows, model, stats, price * low, price * high)
+    df = pricing.best_price_on_steps(df).withColumnsRenamed({"best_price": "exact_price", "best_profit": "exact_profit"})
+    scorer = demand.tree_scorer(model, stats)
+    for name, grid in (("few", SETTINGS.multipliers), ("many", pricing.action_grid(low, high, 41))):
+        df = pricing.best_multiplier(df, scorer, grid).withColumnRenamed("best_profit", f"profit_{name}").drop(
+            "best_price", "best_multiplier", "best_predicted")
+    inside = (F.col("exact_price") >= price * low - 1e-9) & (F.col("exact_price") <= price * high + 1e-9)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(inside).alias("inside"),
+        F.count_if(F.col("exact_profit") >= F.col("profit_few") - 1e-6).alias("not_below_5"),
+        F.count_if(F.col("exact_profit") >= F.col("profit_many") - 1e-6).alias("not_below_41"))
+
+
 @query
 def boosted_product_evaluation(spark, sf):
     scaled, stats, model = boosted(spark, sf)
@@ -657,3 +727,126 @@ def boosted_product_evaluation(spark, sf):
     return _evaluation_columns(evaluation.product_evaluation(
         rows, df, registry.product_constants(df, PRODUCT_ID), demand.tree_scorer(model, stats), SETTINGS,
         noise_std=SETTINGS.noise_std))
+
+
+# --- stores and jobs ---------------------------------------------------------------------------
+
+@query
+def stored_panel(spark, sf):
+    """The daily panel written and read as the panel aggregated earlier."""
+    path = f"{shared_folder(spark)}/daily"
+    tables.write_parquet(daily(spark, sf), path)
+    return _panel_columns(tables.read_daily_panel(spark, path))
+
+
+@query
+def stored_top_products(spark, sf):
+    path = f"{shared_folder(spark)}/top_products"
+    tables.write_product_ids(panel.top_products(daily(spark, sf), SETTINGS.top_n, "month"), path)
+    return tables.read_product_ids(spark, path)
+
+
+@query
+def stored_product_registry(spark, sf):
+    path = f"{shared_folder(spark)}/registry"
+    tables.write_product_registry(registry.dense_ids(standard_product_id(lines(spark, sf, "part"))), path)
+    return tables.read_product_registry(spark, path)
+
+
+@query
+def raw_product_rows(spark, sf):
+    """Raw ids to dense ones and back, through the stored registry."""
+    df, path = keyed(spark, sf), f"{shared_folder(spark)}/registry"
+    tables.write_product_registry(registry.dense_ids(df), path)
+    known = tables.read_product_registry(spark, path)
+    dense = df.join(known, PRODUCT_ID).drop(PRODUCT_ID)
+    return registry.to_raw(dense, known).groupBy(PRODUCT_ID).agg(
+        F.count(F.lit(1)).alias("n_days"), F.sum(TARGET).alias("total_units"))
+
+
+@query
+def stored_scaler_stats(spark, sf):
+    path = f"{shared_folder(spark)}/scaler_stats"
+    train = splits.as_float32(feature_splits(spark, sf).where("split = 'train'"), FEATURES)
+    tables.write_scaler_stats(scaling.fit_scalers(train, FEATURES), path)
+    return tables.read_scaler_stats(spark, path).select("column", "kind", rounded("center", 4), rounded("scale", 4))
+
+
+@query
+def stored_csv_report(spark, sf):
+    """A report written as CSV and read with its types; the date comes back as a date."""
+    df, path = daily(spark, sf, "brand"), f"{shared_folder(spark)}/report"
+    tables.write_csv_report(df, path)
+    return _panel_columns(tables.read_csv_report(spark, path, df.schema))
+
+
+@query
+def stored_feature_names(spark, sf):
+    """The model's inputs in trained order, out of the stored model."""
+    _, _, model = boosted(spark, sf)
+    path = f"{shared_folder(spark)}/model"
+    tables.save_model(model, path)
+    names = tables.feature_names(tables.load_model(path))
+    return spark.createDataFrame(list(enumerate(names)), "place int, feature string")
+
+
+@query
+def registry_job(spark, sf):
+    """Registry and revenue per day of a stored scaled split."""
+    scaled, folder = scaled_splits(spark, sf, "missing"), shared_folder(spark)
+    tables.write_parquet(scaled.where("split = 'test'"), f"{folder}/test_scaled")
+    rows, known, revenue = preparation.load_data_registry(spark, f"{folder}/test_scaled", f"{folder}/registry")
+    counts = rows.groupBy(PRODUCT_ID, "dense_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(revenue, PRODUCT_ID).select(PRODUCT_ID, "dense_id", "n_rows", rounded("avg_daily_revenue", 3))
+
+
+@query
+def prepare_data_job(spark, sf):
+    """The preparation job from transactions to the three scaled splits on disk."""
+    folder = shared_folder(spark)
+    preparation.prepare_data(spark, folder, settings=replace(SETTINGS, top_n=20), grain="month", transactions=lines(spark, sf))
+    made = None
+    for split in splits.SPLITS:
+        part = splits.zero_nan(tables.read_parquet(spark, f"{folder}/{split}_scaled")).select(
+            F.lit(split).alias("split"), DATE, PRODUCT_ID, TARGET, *[rounded(c, 3) for c in FEATURES])
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+def _evaluation_folder(spark: SparkSession, sf: str) -> str:
+    """Prepared tables and the stored model, as the evaluation jobs read them."""
+    folder = shared_folder(spark)
+    tables.write_parquet(daily(spark, sf), f"{folder}/panel")
+    preparation.prepare_data(spark, folder, panel_path=f"{folder}/panel", settings=SETTINGS)
+    tables.write_parquet(tables.read_daily_panel(spark, f"{folder}/panel"), f"{folder}/daily")
+    tables.save_model(boosted(spark, sf)[2], f"{folder}/model")
+    return folder
+
+
+@query
+def evaluate_policies_job(spark, sf):
+    """The full policy evaluation with both CSV reports; what is certain of its log, and that the reports are whole."""
+    folder = _evaluation_folder(spark, sf)
+    report = evaluation_plan.run_full_evaluation(spark, folder, f"{folder}/model", f"{folder}/reports", SETTINGS)
+    log = tables.read_parquet(spark, f"{folder}/reports/policy_results")
+    csv = tables.read_csv_report(spark, f"{folder}/reports/detailed_evaluation_results", log.schema)
+    summary = tables.read_csv_report(spark, f"{folder}/reports/evaluation_summary", report.schema)
+    known = csv.groupBy("policy").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(PRODUCT_ID).alias("n_products"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    held = summary.select("policy", ((F.col("total_revenue_lower") <= F.col("total_revenue_upper"))
+                                     & F.col("average_price").isNotNull()).alias("has_intervals"))
+    return known.join(held, "policy")
+
+
+@query
+def evaluate_products_job(spark, sf):
+    """The per-product evaluation with its CSV report: all test products are in it, and the totals add up."""
+    folder = _evaluation_folder(spark, sf)
+    products, portfolio = evaluation_plan.evaluate_products(spark, folder, f"{folder}/model", f"{folder}/reports", SETTINGS)
+    titles = evaluation.report_columns(products).schema
+    csv = tables.read_csv_report(spark, f"{folder}/reports/evaluation_results", titles)
+    profit = evaluation.REPORT_TITLES["agent_profit_mean"]
+    sums = csv.agg(F.count(F.lit(1)).alias("n_products"), F.sum(F.abs(profit)).alias("size"), F.sum(profit).alias("total"))
+    return sums.crossJoin(portfolio).select(  # one row each
+        "n_products", (F.abs(F.col("total") - F.col("total_agent_profit")) <= 1e-9 * F.col("size")).alias("adds_up"))

@@ -55,7 +55,9 @@ class Settings:
     n_trees: int = 2000
     learning_rate: float = 0.01
     subsample: float = 0.8
-    max_depth: int = 5
+    leaves: int = 31
+    lambda_l1: float = 0.1
+    lambda_l2: float = 0.1
 
     @property
     def policy_cost(self) -> float:

@@ -10,17 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DATE, FEATURES, PRODUCT_ID, TARGET, Settings
+from ..config import DATE, FEATURES, PRODUCT, PRODUCT_ID, TARGET, Settings
 from ..functions.noise import hash_normal
 from ..functions.numeric import non_negative, standardise, unstandardise
-from ..sources.tables import feature_names
+from . import boosting
+from .boosting import BoostedTrees
 from .scaling import scaler_values
 
+# Fixed value: how the columns of product categories begin.
 CATEGORY_PREFIX = "PROD_CATEGORY_DEP_"
 
 
@@ -32,64 +31,79 @@ class Scorer:
 
 # --- boosted trees -----------------------------------------------------------------------------
 
-def model_inputs(df: DataFrame, features: list[str]) -> DataFrame:
-    """Features as doubles. Missing values become 0, the mean of a scaled column, as does a product
-    category column the table does not have."""
-    filled = {}
+def model_inputs(df: DataFrame, features: list[str]) -> list[Column]:
+    """Features as doubles in trained order. Missing values (NULL or NaN) stay missing; a product category column that
+    the table does not have is 0."""
+    inputs = []
     for c in features:
         if c in df.columns:
-            value = F.col(c).cast("double")
-            filled[c] = F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
+            inputs.append(F.col(c).cast("double").alias(c))
         elif c.startswith(CATEGORY_PREFIX):
-            filled[c] = F.lit(0.0)
+            inputs.append(F.lit(0.0).alias(c))
         else:
             raise ValueError(f"feature {c!r} is missing; found {df.columns}")
-    return df.withColumns(filled)
+    return inputs
 
 
 def train_demand_model(train: DataFrame, features: list[str] | None = None, target: str = TARGET,
-                       n_trees: int | None = None, settings: Settings = Settings()) -> PipelineModel:
-    """Boosted regression trees on the scaled training split, minimising absolute error.
-
-    The saved pipeline holds the feature order. Trees are limited by depth (2**5 leaves at most)
-    where other libraries limit leaves, so predictions differ in detail from such a library's.
-    """
+                       n_trees: int | None = None, settings: Settings = Settings(),
+                       rows_a_task: int = boosting.ROWS_A_TASK) -> BoostedTrees:
+    """Boosted leaf-wise regression trees on the scaled training split, minimising absolute error."""
     features = features or FEATURES
-    rows = model_inputs(train, features).where(F.col(target).isNotNull()) \
-        .withColumn("label", F.greatest(F.col(target).cast("double"), F.lit(0.0))).select("label", *features)
-    trees = GBTRegressor(
-        lossType="absolute", maxIter=n_trees or settings.n_trees, stepSize=settings.learning_rate,
-        subsamplingRate=settings.subsample, featureSubsetStrategy=str(settings.subsample),
-        maxDepth=settings.max_depth, seed=settings.seed, checkpointInterval=10)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(rows)
+    keys = [c for c in (PRODUCT_ID, PRODUCT, DATE) if c in train.columns] or features
+    rows = train.where(F.col(target).isNotNull()).select(
+        *model_inputs(train, features), F.greatest(F.col(target).cast("double"), F.lit(0.0)).alias("_label"),
+        F.xxhash64(*keys).alias("_row"))
+    options = boosting.Options(
+        n_trees or settings.n_trees, settings.learning_rate, settings.leaves, settings.subsample, settings.subsample,
+        settings.lambda_l1, settings.lambda_l2, seed=settings.seed)
+    return boosting.fit(rows, features, "_label", F.col("_row"), options, rows_a_task)
 
 
-def predict(model: PipelineModel, df: DataFrame, output: str = "prediction") -> DataFrame:
+def predict(model: BoostedTrees, df: DataFrame, output: str = "prediction") -> DataFrame:
     """Expected units at the row's own (scaled) features."""
-    scored = model.transform(model_inputs(df, feature_names(model)))
-    return scored.drop("features").withColumnRenamed("prediction", output)
+    boosting.ship(df.sparkSession)
+    return df.withColumn(output, boosting.scores(model, model_inputs(df, model.features)))
 
 
-def tree_scorer(model: PipelineModel, scaler_stats: DataFrame, price: str = "avg_price") -> Scorer:
+def tree_scorer(model: BoostedTrees, scaler_stats: DataFrame, price: str = "avg_price") -> Scorer:
     """Score unscaled prices with a model trained on scaled features.
 
-    Only the price entry of the feature vector is replaced; everything else, the day's sales
-    included, stays as observed.
+    Only the price is replaced; everything else, the day's sales included, stays as observed. All prices of a row are
+    read off one step function of price, so five cost about as much as one.
     """
-    features = feature_names(model)
-    trees = model.stages[-1]
     center, scale = scaler_values(scaler_stats, [price])[price]
 
     def score(df: DataFrame, prices: dict[str, str]) -> DataFrame:
-        for column, output in prices.items():
-            df = df.withColumn("_scaled", standardise(F.col(column), center, scale))
-            inputs = ["_scaled" if c == price else c for c in features]
-            df = VectorAssembler(inputCols=inputs, outputCol="_vector").transform(df)
-            df = trees.transform(df, {trees.featuresCol: "_vector", trees.predictionCol: output})
-            df = df.drop("_vector", "_scaled")
+        at = [standardise(F.col(c), center, scale) for c in prices]
+        found = boosting.responses(model, model_inputs(df, model.features), price, at)
+        scored = df.withColumn("_units", found)
+        return scored.withColumns({output: F.col("_units")[k] for k, output in enumerate(prices.values())}).drop("_units")
+
+    def prepare(df: DataFrame) -> DataFrame:
+        boosting.ship(df.sparkSession)
         return df
 
-    return Scorer(lambda df: model_inputs(df, features), score)
+    return Scorer(prepare, score)
+
+
+def price_steps(df: DataFrame, model: BoostedTrees, scaler_stats: DataFrame, low: Column, high: Column,
+                output: str = "price_steps", price: str = "avg_price") -> DataFrame:
+    """Add the row's predicted units as a step function of its (unscaled) price from ``low`` to ``high``: an array of
+    (upper, units), where units hold up to and with the price ``upper``."""
+    boosting.ship(df.sparkSession)
+    center, scale = scaler_values(scaler_stats, [price])[price]
+    scaled = [standardise(bound, center, scale) for bound in (low, high)]
+    df = df.withColumn("_steps", boosting.price_steps(model, model_inputs(df, model.features), price, *scaled))
+
+    def unscaled(step: Column, k: Column) -> Column:
+        plain = unstandardise(step["upper"], center, scale)
+        # Rounding may put the price a hair beyond the step's end; the next price below is on it.
+        inside = F.when(standardise(plain, center, scale) > step["upper"], plain - F.abs(plain) * 4e-16).otherwise(plain)
+        upper = F.when(k == F.size("_steps") - 1, high).otherwise(F.least(inside, high))
+        return F.struct(upper.alias("upper"), step["value"].alias("units"))
+
+    return df.withColumn(output, F.transform("_steps", unscaled)).drop("_steps")
 
 
 # --- straight lines ----------------------------------------------------------------------------

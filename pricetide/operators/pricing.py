@@ -109,6 +109,26 @@ def best_multiplier(df: DataFrame, scorer: Scorer, multipliers: Sequence[float],
     }).drop("_best", *[f"_price_{i}" for i in indices], *[f"_units_{i}" for i in indices])
 
 
+def best_price_on_steps(df: DataFrame, steps: str = "price_steps", cost: str = "unit_cost", measure: str = "profit") -> DataFrame:
+    """Add the best price of a continuous range and its predicted units and gain; exact.
+
+    ``steps`` holds the units as a step function of price (`demand.price_steps`). Units are constant on a step, so
+    profit and revenue are largest at its upper end; the lower price wins a tie. NULL where there are no steps.
+    """
+    if measure not in ("profit", "revenue"):
+        raise ValueError(f"measure must be profit or revenue, not {measure!r}")
+
+    def choice(step: Column) -> Column:
+        units = sold_units(step["units"])
+        gain = profit(step["upper"], F.col(cost), units) if measure == "profit" else revenue(step["upper"], units)
+        return F.struct(gain.alias("gain"), (-step["upper"]).alias("order"), step["upper"].alias("price"),
+                        step["units"].alias("predicted"))
+
+    return df.withColumn("_best", F.array_max(F.transform(steps, choice))).withColumns({
+        "best_price": F.col("_best.price"), "best_predicted": F.col("_best.predicted"), f"best_{measure}": F.col("_best.gain"),
+    }).drop("_best")
+
+
 def mean_prices(prices: DataFrame, step: str, price: str = "price", product: str = PRODUCT_ID) -> DataFrame:
     """One price per product and step; duplicates are averaged."""
     return prices.groupBy(product, step).agg(F.avg(price).alias(price))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark import StorageLevel
@@ -97,12 +102,39 @@ def passing(spark: SparkSession) -> Iterator[None]:
         release(spark, *made)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application, so that tasks can import it anywhere."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="code-")  # the driver serves it from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "pricetide_core.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for where, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(where, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all tasks reach, in ``spark.checkpoint.dir`` or else the warehouse.
+    """A new folder that all tasks reach, in ``spark.checkpoint.dir``.
 
-    A `release` of all tables removes it; it also goes when the driver's JVM ends.
+    Where that is unset, a session on one machine takes a temporary folder; one on a cluster is told to set it. A
+    `release` of all tables removes the folder; it also goes when the driver's JVM ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     files, where = _files(spark, f"{folder.rstrip('/')}/pricetide/{uuid.uuid4().hex}")
     where = files.makeQualified(where)
     files.mkdirs(where)

@@ -154,7 +154,7 @@ def test_units_scaler_is_undone(spark):
 
 def test_category_columns_default_to_zero(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
-    row = demand.model_inputs(df, ["a", "b", "PROD_CATEGORY_DEP_X"]).first()
-    assert (row.a, row.b, row.PROD_CATEGORY_DEP_X) == (1.0, 0.0, 0.0)
+    row = df.select(demand.model_inputs(df, ["a", "b", "PROD_CATEGORY_DEP_X"])).first()
+    assert (row.a, row.b, row.PROD_CATEGORY_DEP_X) == (1.0, None, 0.0)
     with pytest.raises(ValueError):
         demand.model_inputs(df, ["nowhere"])

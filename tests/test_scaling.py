@@ -73,13 +73,24 @@ def test_exact_quantiles_against_numpy(spark, n):
     assert got["a"].n == n
 
 
-def test_quantiles_stay_exact_when_the_sketch_misses(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "_MARGIN", 0.0)
-    monkeypatch.setattr(quantiles, "ACCURACY", 2)
-    x = [float(i * i) for i in range(1001)]
-    df = spark.createDataFrame([(v,) for v in x], "a double").repartition(4)
-    row = quantiles.exact_quantiles(df, ["a"], [0.25, 0.5, 0.75]).first()
-    assert row.quantiles == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])))
+@pytest.mark.parametrize("digit, few", [(11, 1024), (3, 4), (16, 0)])
+def test_quantiles_of_all_distinct_all_equal_and_wild_columns(spark, monkeypatch, digit, few):
+    monkeypatch.setattr(quantiles, "DIGIT", digit)
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = random.Random(4)
+    wild = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(1000)] + [0.0, -0.0, float("inf"), -float("inf")]
+    rows = [(float(i), 3.25, w, float(i % 2) if i % 3 else None, float("nan")) for i, w in enumerate(wild)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(4)
+    probabilities = [0.0, 0.25, 0.5, 0.77, 1.0]
+    got = rows_by(quantiles.exact_quantiles(df, list("abcde"), probabilities), "column")
+    assert set(got) == set("abcd") and got["d"].n == 669
+    for k, c in enumerate("abd"):
+        mine = [r["abcde".index(c)] for r in rows if r["abcde".index(c)] is not None]
+        assert got[c].quantiles == pytest.approx(list(np.quantile(mine, probabilities)), rel=1e-12)
+    sorted_wild = sorted(wild)
+    assert got["c"].quantiles[0] == -float("inf") and got["c"].quantiles[4] == float("inf")
+    low, high = sorted_wild[501], sorted_wild[502]
+    assert got["c"].quantiles[2] == pytest.approx(low + (high - low) * 0.5)
 
 
 def test_quantiles_of_nothing(spark):
