@@ -78,6 +78,13 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Itera
         first = last
 
 
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the runs ``codes[start:end]``."""
+    sums = np.zeros(len(codes) + 1, _U)
+    np.cumsum((codes.astype(_U) + _U(1)) * _powers(_BASE, len(codes)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, len(codes) + 1)[starts])
+
+
 class Words:
     """The words of some texts: where each starts and ends, its text, and hashes of it or of its first bytes."""
 

@@ -1,5 +1,7 @@
 import base64
+import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -176,6 +178,65 @@ def test_completion_beats_best_fit():
     assert packing.complete({}) == []
 
 
+def test_every_maximal_filling_is_enumerated():
+    rng = random.Random(3)
+    for _ in range(40):
+        capacity = rng.randint(8, 30)
+        counts = Counter(rng.randint(1, 9) for _ in range(rng.randint(1, 9)))
+        left = packing._Left(np.array([counts.get(x, 0) for x in range(capacity + 1)]))
+        have, want = sorted(counts.elements()), set()
+        for n in range(len(have) + 1):
+            for some in itertools.combinations(have, n):
+                rest = Counter(have) - Counter(some)
+                if sum(some) <= capacity and not any(sum(some) + x <= capacity for x in rest):
+                    want.add(tuple(sorted(some, reverse=True)))
+        assert {f for f in packing._all(left, capacity, {}) if f is not None} == want
+
+
+def test_lower_bound_and_what_best_fit_misses():
+    counts = np.zeros(101, np.int64)
+    counts[[60, 55, 34]] = [5, 5, 3]  # no two of the large ones share a sequence, a 34 fits beside one
+    assert packing.lower_bound(counts, 100) == 10
+    counts[[60, 55, 34, 46]] = [0, 5, 0, 5]  # 55 + 46 is too much: 55 alone, 46 in pairs
+    assert packing.lower_bound(counts, 100) == 8
+    rng, better, at_bound = random.Random(8), 0, 0
+    for _ in range(30):
+        sizes = Counter(rng.randint(15, 60) for _ in range(40))
+        start = np.array([sizes.get(x, 0) for x in range(101)])
+        made, fit = check_packing(sizes, 100, packing.complete(sizes, 100)), sum(n for n, _ in packing._best_fit(start, 100))
+        assert packing.lower_bound(start, 100) <= made <= fit
+        better, at_bound = better + (made < fit), at_bound + (made == packing.lower_bound(start, 100))
+    assert better >= 3 and at_bound >= 20
+
+
+def test_memory_of_the_search_does_not_grow_with_its_patterns():
+    rng, peaks = random.Random(2), []
+    for n in (2_000, 40_000):
+        counts = Counter(min(4095, int(rng.lognormvariate(6, 1.1)) + 1) for _ in range(n))
+        tracemalloc.start()
+        patterns = packing.complete(counts)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        check_packing(counts, 4096, patterns)
+    assert peaks[1] < 20e6
+
+
+def test_long_texts_are_cut_at_spaces_only(monkeypatch):
+    library, rng = Tokenizer.from_file(WORDS), random.Random(6)
+    library.encode_special_tokens = True
+    monkeypatch.setattr(packing, "SPAN", 64)
+    encoder = packing.WordEncoder(WORDS)
+    for _ in range(20):
+        text = "".join(rng.choice("ab1 'sé_,\n ") for _ in range(700)) + "x" * 200
+        assert ids_of(encoder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    strange = "word " * 50 + "漢字 ok"
+    assert ids_of(encoder.encode(strange)) == library.encode(strange, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "REMEMBERED", 10)  # the table starts anew again and again
+    text = " ".join(f"{a}{b}" for a in "abcdefg" for b in "hijklmn")
+    for _ in range(3):
+        assert ids_of(encoder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_documents(docs, awkward, empty):
     library = Tokenizer.from_file(WORDS)
     library.encode_special_tokens = True
