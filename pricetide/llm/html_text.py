@@ -4,14 +4,20 @@ A page is read once into blocks of text, each with its path of block elements fr
 id). Per path the blocks' text length, punctuation and link text are added up; a path's length ratio is its text
 per block, its punctuation ratio the marks per block. Both ratios are smoothed twice: a path's are averaged with
 those of its container (a heading counts with its paragraphs), and neighbouring paths in page order lend each
-other a little. The two are fused into one score, less what is link text and times what the path's elements say:
-an article counts more, and what is named like an advert, notice, comment or form counts less, unless the name is
-on an element that holds nearly all of the page's text. Such a name says nothing about an article below it.
+other a little. The two are fused into one score, less what is link text and times what the path's elements say: an
+article counts more, and a name with a word for adverts, notices, comments or forms counts less.
+
+Parts whose name says nothing else (a form, ``comments``, ``ad-slot``) are never content, however long, as long as
+some sentence of the page stands outside all of them. Where none does, the name is about the layout (a wrapper
+``sidebar-right``) or the part is the page: the outermost one with the most text is opened, until a sentence is
+outside. Other names (``social-history``, ``reply``) lower a score in the same cases. No name says anything about an article
+below it.
 
 Paths that reach `SHARE` of the page's best score are content. So is all else in an article or main element with
 such a path, but for named parts that do not reach it themselves, and outside articles what lies in a container
 that holds such a path and is mostly not link text: cells, captions, quotes and short sections stay with their
-text. Menus, footers, asides and hidden elements are never content. The text is the blocks in page order.
+text. A page whose content lies in the body itself keeps all that lies there, lists, cells and quotes included.
+Menus, footers, asides and hidden elements are never content. The text is the blocks in page order.
 
 A page is one row and is handled where it lies: no shuffle, memory of one page at a time.
 
@@ -39,8 +45,8 @@ NEIGHBOUR = 0.05
 ARTICLE_BOOST = 20.0
 #: What a hint in an element's name leaves of a score, outside articles and inside, where it is mostly a topic.
 HINTED, HINTED_INSIDE = 0.02, 0.2
-#: A hint on an element with this share of the page's text is one about the page's layout.
-LAYOUT = 0.8
+#: Characters from which a block with a punctuation mark reads as a sentence; an article's are taken as they are.
+SENTENCE = 25
 #: Share of link text from which a path below a content container is not taken along.
 LINKED = 0.5
 
@@ -68,6 +74,11 @@ _HINTS = _words("""ad ads advert adverts advertisement advertising banner promo
     breadcrumb breadcrumbs pagination pager footer comment comments disqus respond reply replies discussion login
     search searchform form skip toolbar paywall""")
 _PAGE_HINTS = _words("header masthead topbar")
+#: Hints that are as likely the topic of a section: alone they lower a score, but decide nothing.
+_TOPICS = _words("notice notices reply replies respond discussion related social share alert notification menu search login")
+#: Words that say nothing about what a part is.
+_NEUTRAL = _words("""list area section box block wrapper wrap container item body thread slot unit bar inner outer links
+    link text top bottom left right row col column group panel title head id js the""")
 #: A start tag that ends an open element of these names in the same container.
 _ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"),
          "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th", "p")}
@@ -77,11 +88,12 @@ _KEEPS_P_OPEN = _words("html body head")
 class _Open:
     """An open block element: its path, its containers' paths, and what it says about its text.
 
-    ``hints`` are the elements around it with a hint in their name, from the last article on; ``scope`` is the path
-    of the nearest article, or of the nearest element with a hint inside it.
+    ``hints`` are the elements around it with a hint in their name, from the last article on, and ``named`` those of
+    them whose name says nothing else; ``scope`` is the path of the nearest article, or of the nearest element with a
+    hint inside it. ``flat`` elements lie in the page itself, in no section or the like.
     """
 
-    __slots__ = ("name", "path", "container", "around", "never", "article", "hints", "scope")
+    __slots__ = ("name", "path", "container", "around", "never", "article", "hints", "named", "scope", "flat")
 
     def __init__(self, name: str, attributes: str, parent: _Open | None):
         found = {a.lower(): (b or c or d) for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -97,6 +109,9 @@ class _Open:
             or "display:none" in found.get("style", "").replace(" ", "").lower())
         hint = not starts and name not in ("html", "body") and bool(
             name in _HINT_NAMES or parts & _HINTS or outside and parts & _PAGE_HINTS)
+        known = _HINTS | _PAGE_HINTS
+        tokens = [{p.lower() for p in _PART.findall(token)} for token in label.split()] if hint else []
+        named = hint and (name in _HINT_NAMES or any(t & known - _TOPICS and t <= known | _NEUTRAL for t in tokens))
         self.path = (f"{parent.path if parent else ''}/{name}" + (f".{label.split()[0]}" if label.split() else "")
                      + "*" * starts + "!" * hint)
         self.container = self.path if name in _CONTAINER or hint or parent is None else parent.container
@@ -105,8 +120,12 @@ class _Open:
         if self.container == self.path and name not in ("", "html", "body"):
             self.around += (self.path,)
         self.hints = () if starts or parent is None else parent.hints
+        self.named = () if starts or parent is None else parent.named
         if hint:
             self.hints += (self.path,)
+        if named:
+            self.named += (self.path,)
+        self.flat = parent is None or parent.flat and name not in ("div", "section", "center", "article", "main")
         self.scope = self.path if starts or hint and self.article else parent.scope if parent else None
 
 
@@ -189,34 +208,52 @@ def _smoothed(values: list[float]) -> list[float]:
     return [v + NEIGHBOUR * (padded[i] + padded[i + 2]) for i, v in enumerate(values)]
 
 
+def _opened(found: list[tuple[_Open, str, int]], kind: str) -> set[str]:
+    """Named parts that don't count as such: outside all others no sentence, or text of an article, is left."""
+    opened: set[str] = set()
+    sentences = [(getattr(element, kind), len(text)) for element, text, linked in found
+                 if 2 * linked < len(text) and (element.article or len(text) >= SENTENCE and _MARKS.search(text))]
+    while sentences:
+        outermost: dict[str, int] = {}
+        for around, size in sentences:
+            part = next((h for h in around if h not in opened), None)
+            if part is None:
+                return opened
+            outermost[part] = outermost.get(part, 0) + size
+        opened.add(max(outermost, key=outermost.get))
+    return opened
+
+
 def main_text(page: str) -> tuple[str, int]:
     """The main text of a page and its number of blocks."""
     found = [b for b in blocks(page) if not b[0].never]
+    opened = _opened(found, "named")
+    found = [b for b in found if opened.issuperset(b[0].named)]
+    opened = _opened(found, "hints")
     # Paths in page order, each with an element that has it.
     paths: dict[str, tuple[_Open, _Sums]] = {}
     containers: dict[str, _Sums] = {}
-    under: dict[str, int] = {}
     for element, text, linked in found:
         sums = len(text), linked, len(_MARKS.findall(text))
         paths.setdefault(element.path, (element, _Sums()))[1].add(*sums)
         containers.setdefault(element.container, _Sums()).add(*sums)
-        for hint in element.hints:
-            under[hint] = under.get(hint, 0) + len(text)
-    layout = LAYOUT * sum(len(text) for _, text, _ in found)
     pairs = [(own, containers[element.container]) for element, own in paths.values()]
     lengths = _smoothed([(own.chars / own.n + near.chars / near.n) / 2 for own, near in pairs])
     marks = _smoothed([(own.marks / own.n + near.marks / near.n) / 2 for own, near in pairs])
     scores = {}
     for (path, (element, own)), length, mark in zip(paths.items(), lengths, marks):
         factor = ARTICLE_BOOST if element.article else 1.0
-        if any(under[hint] < layout for hint in element.hints):
+        if not opened.issuperset(element.hints):
             factor *= HINTED_INSIDE if element.article else HINTED
         scores[path] = factor * length * (1 + mark) * (1 - own.linked / own.chars)
     least = SHARE * max(scores.values(), default=0)
     content = {path for path, score in scores.items() if score >= least and score > 0}
     scopes = {paths[path][0].scope for path in content} - {None}
     held = {paths[path][0].container for path in content}
+    flat = bool(content) and all(paths[path][0].flat and paths[path][0].scope is None for path in content)
     for path, (element, own) in paths.items():
+        if flat and element.flat and own.linked < LINKED * own.chars:
+            content.add(path)
         if element.scope in scopes or element.scope is None and own.linked < LINKED * own.chars and held.intersection(element.around):
             content.add(path)
     kept = [text for element, text, _ in found if element.path in content]
@@ -226,7 +263,7 @@ def main_text(page: str) -> tuple[str, int]:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text, n_chars and n_blocks."""
     made = ("text", "n_chars", "n_blocks")
-    kept = [c for c in pages.columns if c != html_col and c not in made]
+    kept = [c for c in pages.columns if c.lower() != html_col.lower() and c.lower() not in made]
     source = free_name(pages, "html_read")
     wide = pages.select(*kept, F.col(html_col).cast("string").alias(source))
     schema = wide.drop(source).schema.add("text", "string").add("n_chars", "long").add("n_blocks", "long")

@@ -138,6 +138,47 @@ PAGES = {
 }
 
 
+LONG = "This sentence belongs to the article, and it is long enough to read as one. "
+TALK = "A reader wrote this remark below the page, at some length, and others agreed. "
+
+#: Pages that the names and the ratios must tell apart: (html, text).
+PARTS = {
+    "comments of like length in an article": (
+        f"<article><p>{LONG}</p><p>{LONG}</p><section class='comments'><p>{TALK}</p><p>{TALK}</p></section></article>",
+        [LONG, LONG]),
+    "form and advert in an article": (
+        f"<article><p>{LONG}</p><form><p>{TALK}</p></form><div class='ad'><p>{TALK}</p></div><p>{LONG}</p></article>", [LONG, LONG]),
+    "notice and newsletter box in an article": (
+        f"<article><div id='cookie-notice'>{TALK}</div><p>{LONG}</p><div class='newsletter-box'>{TALK}</div></article>", [LONG]),
+    "short article, many comments": (
+        f"<body><div><h1>Title</h1><p>{LONG}</p></div><div class='comments'>" + f"<div class='comment'><p>{TALK}{TALK}</p></div>" * 8
+        + "</div></body>", ["Title", LONG]),
+    "plain body": (
+        f"<body><h1>Title</h1><p>{LONG * 4}</p><ul><li>one</li><li>two</li></ul><table><tr><td>cell a</td><td>cell b</td></tr></table>"
+        "<blockquote>quoted words</blockquote></body>", ["Title", LONG * 4, "one", "two", "cell a", "cell b", "quoted words"]),
+    "plain body with a menu and comments": (
+        f"<body><ul><li><a href='/'>Home</a></li></ul><p>{LONG}</p><div class='comment-list'><p>{TALK}</p></div></body>", [LONG]),
+    "wrapper named for its layout": (
+        f"<body><div class='cookie'>{TALK}</div><div class='sidebar-right'><div><p>{LONG}</p><p>{LONG}</p></div>"
+        f"<div class='comments'><p>{TALK * 9}</p></div></div></body>", [LONG, LONG]),
+    "the form is the page": (f"<body><form><p>{LONG}</p><p>{LONG}</p></form></body>", [LONG, LONG]),
+    "a topic in the name": (
+        f"<article><p>{LONG}</p><section class='social-history'><p>{LONG * 2}</p></section></article>", [LONG, LONG * 2]),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_named_parts_and_plain_bodies(name):
+    page, lines = PARTS[name]
+    assert html_text.main_text(page)[0].split("\n") == [" ".join(line.split()) for line in lines]
+
+
+def test_clashing_names_in_another_case(spark):
+    frame = spark.createDataFrame([(1, "<p>Some text, here.</p>", "x", 5)], "page_id int, HTML string, TEXT string, n_CHARS int")
+    row = html_text.extract(frame.withColumnRenamed("HTML", "html")).select("page_id", "text", "n_chars").first()
+    assert (row.page_id, row.text, row.n_chars) == (1, "Some text, here.", 16)
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     assert html_text.main_text(PAGES[name][0])[0] == PAGES[name][1]
