@@ -34,8 +34,11 @@ from ..session import materialize, ship
 BINS = 64
 #: The bin of missing values.
 MISSING = BINS - 1
-#: Rows that one task holds; about 200 bytes each while trees grow.
-ROWS_A_TASK = 1 << 18
+#: Rows that one task holds, at about 150 bytes each while trees grow. More rows make more tasks; then each exchange
+#: takes the second that Spark's barrier waits between looks, some ten a tree.
+ROWS_A_TASK = 1 << 20
+#: Rows that are counted at once.
+PIECE = 1 << 15
 ROUNDS_A_JOB = 1000
 
 TREE_SCHEMA = ("tree int, features array<int>, bins array<int>, missing_left array<boolean>, left array<int>, "
@@ -219,7 +222,8 @@ class Trainer:
     def __init__(self, group: _Group, codes: np.ndarray, target: np.ndarray, keys: np.ndarray, options: Options):
         self.group, self.codes, self.options = group, codes, options
         self.target, self.keys = target.astype(np.float32), keys
-        self.slots = np.ascontiguousarray(codes.T).astype(np.int32) * 4
+        self.kind = np.int16 if len(codes) * BINS * 4 < 1 << 15 else np.int32
+        self.slots = np.ascontiguousarray(codes.T).astype(self.kind) * 4
 
     def base(self) -> float:
         return float(medians(self.group, self.target, np.zeros(len(self.target), np.int64), 1)[0])
@@ -236,7 +240,10 @@ class Trainer:
     def _histogram(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and sums of gradient signs by feature and bin."""
         n = len(self.chosen)
-        found = np.bincount(self.signed[rows].ravel(), minlength=n * BINS * 4).reshape(n, BINS, 4)
+        found = np.zeros(n * BINS * 4, np.int64)
+        for begin in range(0, len(rows), PIECE):
+            found += np.bincount(self.signed[rows[begin:begin + PIECE]].ravel(), minlength=len(found))
+        found = found.reshape(n, BINS, 4)
         return found.sum(axis=2), found[:, :, 2] - found[:, :, 0]
 
     def _find_splits(self, nodes: list[_Node]) -> None:
@@ -299,8 +306,10 @@ class Trainer:
         n_features = len(self.codes)
         draw = np.random.default_rng([o.seed, number])
         self.chosen = np.sort(draw.permutation(n_features)[:max(1, round(o.feature_fraction * n_features))])
-        sign = np.sign(-residual).astype(np.int32) + 1
-        self.signed = self.slots[:, self.chosen] + (np.arange(len(self.chosen), dtype=np.int32) * (4 * BINS)) + sign[:, None]
+        sign = np.sign(-residual).astype(self.kind) + self.kind(1)
+        self.signed = self.slots[:, self.chosen]
+        self.signed += np.arange(len(self.chosen), dtype=self.kind) * self.kind(4 * BINS)
+        self.signed += sign[:, None]
         rows = self._sampled(number)
         root = _Node(rows, *self.group.total(np.stack(self._histogram(rows))))
         used = np.flatnonzero(root.counts[:, :MISSING].any(axis=0))
@@ -315,7 +324,9 @@ class Trainer:
                 break
             if node.children is None:
                 open_ = sorted((leaf for leaf in leaves if leaf.children is None and leaf.gain > 0), key=lambda x: -x.gain)
-                self._expand(open_[:o.leaves - len(leaves)])
+                # Alone, only small leaves are worth counting before it is known that they will be split.
+                self._expand([x for x in open_[:o.leaves - len(leaves)]
+                              if x is node or self.group.size > 1 or len(x.rows) <= 4096])
             split.add(id(node))
             leaves[k:k + 1] = node.children
         lists: list[list] = [[], [], [], [], []]

@@ -1,6 +1,7 @@
 """Leaf-wise boosting against a plain grower in Python, and everything read off its trees."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -100,8 +101,8 @@ def test_trees_equal_a_plain_grower():
 
 
 def test_the_same_trees_from_any_number_of_tasks(rows, model):
-    three = boosting.fit(rows, FEATURES, "y", F.col("i"), OPTIONS, rows_a_task=150)
-    assert same(model, three)
+    few = replace(OPTIONS, rounds=2)  # an exchange between tasks takes a second
+    assert same(boosting.fit(rows, FEATURES, "y", F.col("i"), few), boosting.fit(rows, FEATURES, "y", F.col("i"), few, rows_a_task=150))
     assert len(model.trees) == 12 and max(len(t.values) for t in model.trees) == 7
 
 
