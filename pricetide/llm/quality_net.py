@@ -6,9 +6,10 @@ filters is a table of a value per offset and byte (a convolution over one-hot by
 chunk is kept (max-pooling), a hidden layer and one output make the chunk's logit, and the chunks' logits, averaged
 by their number of windows, give the document's one probability.
 
-Learning runs in numpy on the driver, over at most `TRAIN_ROWS` labelled documents of each label (by hash
-of the id) and `TRAIN_CHUNKS` evenly spaced chunks of each. Scoring covers every row and every byte, in slices of
-bounded size over Arrow batches, without a shuffle.
+Learning runs in numpy on the driver, over at most `TRAIN_ROWS` labelled documents of each label (by hash of the id)
+and all chunks of each; a document's chunks share its weight. Scoring covers every row and every byte, over Arrow
+batches, without a shuffle. Responses are made for at most `SLICE` window starts at a time: a longer text is taken in
+parts of whole chunks, whose sums are carried, so memory does not grow with the text beyond the text itself.
 
 Edge cases: a null or empty text is one window of padding. Without labels of both classes the score is the share of
 good labels (1/2 without any). Repeated labels of an id count as the lowest. Null ids and labels are never learned
@@ -34,9 +35,8 @@ FILTERS = 24
 HIDDEN = 16
 WINDOWS = 506
 TRAIN_ROWS = 1_500
-TRAIN_CHUNKS = 3
 EPOCHS = 8
-#: Bytes scored at a time: responses take 4 * FILTERS bytes each.
+#: Window starts scored at a time: responses take 4 * FILTERS bytes each.
 SLICE = 1 << 17
 
 _CHUNK = WINDOWS + WIDTH - 1
@@ -53,14 +53,18 @@ class Net:
     out: np.ndarray
     out_bias: float
 
-    def pooled(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(largest responses, windows, text) of each chunk of the texts of a slice."""
+    def pooled(self, body: np.ndarray, at: np.ndarray, after: np.ndarray = np.zeros(0, np.uint8)
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(largest responses, windows, text) of each chunk of the texts of a slice; ``after`` are the bytes that follow
+        the last of them, where that is a part of a text."""
         sizes = np.diff(at)
         lengths = np.maximum(sizes, 1)
         room = lengths + WIDTH - 1
         begin = np.cumsum(room) - room
         padded = np.zeros(int(room.sum()), np.uint8)
         padded[np.repeat(begin, sizes) + np.arange(len(body)) - np.repeat(at[:-1], sizes)] = body
+        if len(after):
+            padded[len(padded) - WIDTH + 1:len(padded) - WIDTH + 1 + len(after)] = after
         windows = np.repeat(begin, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         response = self.tables[0][padded[windows]]
         for j in range(1, WIDTH):
@@ -78,12 +82,25 @@ class Net:
     def scores(self, column) -> np.ndarray:
         made = np.empty(len(column))
         for first, body, at in slices(column, SLICE):
-            pooled, windows, text = self.pooled(body, at)
             n = len(at) - 1
+            if len(body) > SLICE:
+                made[first] = self._long(body)
+                continue
+            pooled, windows, text = self.pooled(body, at)
             sums = np.bincount(text, self.logits(pooled) * windows, n)
             made[first:first + n] = sums / np.bincount(text, windows, n)
         return 1 / (1 + np.exp(-np.clip(made, -500, 500)))
 
+    def _long(self, body: np.ndarray) -> float:
+        """The logit of one text, by parts of whole chunks."""
+        total, step = 0.0, max(1, SLICE // WINDOWS) * WINDOWS
+        for begin in range(0, len(body), step):
+            part = body[begin:begin + step]
+            after = body[begin + step:begin + step + WIDTH - 1]
+            pooled, windows, _ = self.pooled(part, np.array([0, len(part)]), after)
+            total += float(self.logits(pooled) @ windows)
+        return total / len(body)
+
 
 @dataclass(frozen=True)
 class Constant:
@@ -93,9 +110,12 @@ class Constant:
         return np.full(len(column), self.value)
 
 
-def fit(chunks: np.ndarray, valid: np.ndarray, good: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01,
-        batch: int = 64, seed: int = 11) -> Net:
-    """A net for chunks (n, _CHUNK) of bytes with ``valid`` window starts each, by Adam on the logistic loss."""
+def fit(chunks: np.ndarray, valid: np.ndarray, good: np.ndarray, weight: np.ndarray | None = None, epochs: int = EPOCHS,
+        rate: float = 0.01, batch: int = 64, seed: int = 11) -> Net:
+    """A net for chunks (n, _CHUNK) of bytes with ``valid`` window starts each, by Adam on the logistic loss.
+
+    ``weight`` is a chunk's share in its document; every chunk comes up once in an epoch and counts by its weight.
+    """
     rng = np.random.default_rng(seed)
     net = Net(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32),
               rng.normal(0, (2 / FILTERS) ** 0.5, (FILTERS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
@@ -103,7 +123,9 @@ def fit(chunks: np.ndarray, valid: np.ndarray, good: np.ndarray, epochs: int = E
     weights = {k: np.atleast_1d(np.asarray(v, np.float32)) for k, v in vars(net).items()}
     m = {k: np.zeros_like(v) for k, v in weights.items()}
     v2 = {k: np.zeros_like(v) for k, v in weights.items()}
-    balance = np.where(good > 0, 0.5 / max(good.mean(), 1e-6), 0.5 / max(1 - good.mean(), 1e-6)).astype(np.float32)
+    weight = np.ones(len(good)) if weight is None else weight
+    share = min(max(float(good @ weight / weight.sum()), 1e-6), 1 - 1e-6)
+    balance = (np.where(good > 0, 0.5 / share, 0.5 / (1 - share)) * weight / weight.mean()).astype(np.float32)
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(good))
@@ -139,16 +161,17 @@ def fit(chunks: np.ndarray, valid: np.ndarray, good: np.ndarray, epochs: int = E
 
 def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good, parts = [], []
+        good, weight, parts = [], [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = (text or "").encode()
             count = max(1, -(-len(raw) // WINDOWS))
-            for k in sorted({round(i * (count - 1) / max(1, TRAIN_CHUNKS - 1)) for i in range(TRAIN_CHUNKS)}):
+            for k in range(count):
                 good.append(label)
+                weight.append(1 / count)
                 parts.append(raw[k * WINDOWS:k * WINDOWS + _CHUNK])
         # The last chunk's windows end with the text; inner chunks have WINDOWS of them.
-        yield pa.RecordBatch.from_arrays([pa.array(good, pa.float64()), pa.array(parts, pa.binary())],
-                                         names=["good", "chunk"])
+        yield pa.RecordBatch.from_arrays([pa.array(good, pa.float64()), pa.array(weight, pa.float64()), pa.array(parts, pa.binary())],
+                                         names=["good", "weight", "chunk"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -159,12 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = lambda x: sampled(known.filter(F.col("good") == x), [id_col], rows)
     sample = first(0).unionByName(first(1))  # at most ``rows`` ids of each label
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), id_col)
-    held = map_arrow(texts.select("good", "text"), _training_chunks, "good double, chunk binary").orderBy(
-        F.xxhash64("chunk"), "chunk", "good").toPandas()
+    held = map_arrow(texts.select("good", "text"), _training_chunks, "good double, weight double, chunk binary").orderBy(
+        F.xxhash64("chunk"), "chunk", "good", "weight").toPandas()
     good = held["good"].to_numpy(float)
     if not len(good) or not 0 < good.mean() < 1:
         return Constant(float(good.mean()) if len(good) else 0.5)
     chunks = np.zeros((len(good), _CHUNK), np.uint8)
     for i, raw in enumerate(held["chunk"]):
         chunks[i, :len(raw)] = np.frombuffer(raw, np.uint8)
-    return fit(chunks, np.clip(held["chunk"].map(len).to_numpy(), 1, WINDOWS), good)
+    return fit(chunks, np.clip(held["chunk"].map(len).to_numpy(), 1, WINDOWS), good, held["weight"].to_numpy(float))

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -138,6 +139,36 @@ PAGES = {
 }
 
 
+def some_net(seed=4):
+    rng = np.random.default_rng(seed)
+    return quality_net.Net(*(rng.normal(size=s).astype(np.float32) for s in (
+        (quality_net.WIDTH, 256, quality_net.FILTERS), quality_net.FILTERS, (quality_net.FILTERS, quality_net.HIDDEN),
+        quality_net.HIDDEN, quality_net.HIDDEN)), 0.1)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    net, rng = some_net(), np.random.default_rng(2)
+    texts = pa.array(["".join(map(chr, rng.integers(32, 400, n))) for n in (5, 3000, 506, 40, 10_000, 1012)])
+    whole = net.scores(texts)
+    monkeypatch.setattr(quality_net, "SLICE", 1100)
+    assert np.allclose(net.scores(texts), whole)
+
+
+def test_memory_of_a_long_text_is_bounded():
+    net, text = some_net(), pa.array(["word and " * 2_200_000])
+    tracemalloc.start()
+    score = net.scores(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score[0] <= 1 and peak < 100e6
+
+
+def test_every_chunk_of_a_labelled_text_is_learned_from():
+    batch = pa.RecordBatch.from_arrays([pa.array([1.0, 0.0]), pa.array(["x" * 5000, None])], names=["good", "text"])
+    made = next(quality_net._training_chunks([batch])).to_pylist()
+    assert [len(r["chunk"]) for r in made] == [511] * 9 + [446, 0] and sum(r["weight"] for r in made) == pytest.approx(2)
+
+
 LONG = "This sentence belongs to the article, and it is long enough to read as one. "
 TALK = "A reader wrote this remark below the page, at some length, and others agreed. "
 
