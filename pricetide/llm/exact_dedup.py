@@ -10,8 +10,8 @@
 4. The remaining digests take the ordinary way: a grouped aggregate and a join on the digest.
 
 Edge cases: a null text counts as empty. Rows without a doc_id lose to any row with one. Of repeated rows (same
-doc_id and text) exactly one stays. An empty table gives no rows. Extra columns are kept; those named like a
-result column are replaced by it.
+doc_id and text) exactly one stays. An empty table gives no rows. `exact_duplicates` gives its five columns and no
+others; `drop_exact_duplicates` keeps all columns of the rows that stay, whatever their names.
 """
 
 from __future__ import annotations

@@ -89,10 +89,12 @@ def _counts(body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns of ``docs`` (all by default) and `COUNTS`, named with ``prefix``."""
-    keep = docs.columns if keep is None else keep
-    text = free_name(docs, "text_read")
+    """The ``keep`` columns of ``docs`` (all by default) and `COUNTS`, named with ``prefix``; a column named like one of
+    these, in any case, is replaced by it."""
     names = [f"{prefix}{c}" for c in COUNTS]
+    taken = {name.lower() for name in names}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    text = free_name(docs, "text_read")
     wide = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     schema = wide.drop(text).schema
     for name in names:

@@ -9,7 +9,8 @@ Documents with the same link key (here: equal texts) are linked. The operator pu
    elsewhere ask to move to a target, which moves them towards most of their neighbours.
 3. Quotas bound the moves: between two shards as many go one way as the other, and beyond that a shard takes
    only what its capacity has free. Requests with the largest gain in neighbours go first. So no round ever
-   breaks the balance, and rounds end when nothing moves.
+   breaks the balance. Rounds go on as long as they cut fewer links: until nobody asks, nobody's move is granted, or
+   a round keeps no more links together than the one before, whose places then stand.
 4. Linked documents are numbered within their shard and the waiting ones fill the rest, which makes the counts
    exact.
 
@@ -18,8 +19,9 @@ joins on a key are on (key, salt) with `SALTS` salts per key, per-key state is o
 numbering is by hash buckets (`numbered`). Broadcast are only the quotas: one row for each pair of shards and
 gain level, 64 * shards**2 rows at most. Tables between rounds are written to the shared folder.
 
-Edge cases: a null or empty text has size 8 and crc 0, and null equals empty. Repeated rows are rows of their
-own. Fewer rows than shards leave shards empty. An empty table gives no rows.
+Edge cases: a null or empty text has size 8 and crc 0, and null equals empty. Repeated rows and null ids are rows of
+their own. Ties between shards and between requests are settled by hashes. Long texts are only hashed and measured, on
+the JVM. Fewer rows than shards leave shards empty. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from pricetide.llm.common import materialize, numbered, salt
 
 SHARDS = 24
 SALTS = 64
-ROUNDS = 6
 #: Of a shard's capacity, what a key too large for one shard counts on having in each of its targets.
 FILL = 0.8
 
@@ -51,6 +52,12 @@ def link_groups(rows: DataFrame) -> DataFrame:
         F.sum("count").alias("group_size"), F.collect_list("salt").alias("salts")).filter("group_size > 1")
 
 
+def kept_together(placed: DataFrame) -> int:
+    """Pairs of rows of one key in one shard, each row with itself included; twice the links not cut, plus the rows."""
+    n = F.count(F.lit(1)).cast("decimal(19,0)")
+    return int(placed.groupBy("key", "shard").agg(n.alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
+
+
 def _requests(placed: DataFrame, groups: DataFrame, capacity: int, turn: int) -> DataFrame:
     """(row, source, shard, level): rows that want to move, with the order of magnitude of their gain."""
     by_shard = placed.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -83,27 +90,31 @@ def _quotas(requests: DataFrame, free: list[int]) -> DataFrame:
         pairs.select("source", "shard", "quota"), ["source", "shard"])
 
 
-def propagate(linked: DataFrame, groups: DataFrame, rows: int, capacities: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(linked: DataFrame, groups: DataFrame, rows: int, capacities: list[int]) -> DataFrame:
     """(row, key, salt, shard) of the linked rows; no shard gets more of them than its capacity."""
     shards = len(capacities)
     placed = materialize(numbered(linked.select("row", "key", "salt"), [], "row", "number", rows).select(
         "row", "key", "salt", F.pmod("number", F.lit(shards)).cast("int").alias("shard")))
-    for turn in range(rounds):
+    together, turn = kept_together(placed), 0
+    while True:
         requests = materialize(_requests(placed, groups, min(c for c in capacities), turn))
         asked = requests.count()
         if not asked:
-            break
+            return placed
         free = [c - n for c, n in zip(capacities, _counts(placed, shards))]
         quotas = materialize(_quotas(requests, free))
         granted = numbered(requests, ["source", "shard", "level"], "row", "number", asked).join(
             F.broadcast(quotas), ["source", "shard", "level"]).filter("before + number < quota").select(
             "row", F.col("shard").alias("to"))
-        placed = materialize(placed.join(granted, "row", "left").select(
+        moved = materialize(placed.join(granted, "row", "left").select(
             "row", "key", "salt", F.coalesce("to", "shard").alias("shard")))
-    return placed
+        now = kept_together(moved)
+        if now <= together:  # nothing was granted, or it did not help
+            return placed
+        placed, together, turn = moved, now, turn + 1
 
 
-def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``rows`` (unique row long, key) with shard int and slot long, gapless from 0 in each shard."""
     keyed = materialize(rows.withColumn("salt", salt(F.col("row"), SALTS)))
     groups = materialize(link_groups(keyed))
@@ -111,7 +122,7 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         groups.select("key", F.explode("salts").alias("salt"), "group_size"), ["key", "salt"], "left"))
     total, linked = marked.count(), marked.filter("group_size is not null").count()
     capacities = [total // shards + (s < total % shards) for s in range(shards)]
-    placed = propagate(marked.filter("group_size is not null"), groups, linked, capacities, rounds)
+    placed = propagate(marked.filter("group_size is not null"), groups, linked, capacities)
     held = _counts(placed, shards)
     starts = [sum(c - n for c, n in zip(capacities[:s], held)) for s in range(shards)]
     alone = numbered(marked.filter("group_size is null"), [], "row", "number", total - linked)
@@ -123,13 +134,12 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         alone.withColumn("group_size", F.lit(1)).select(*rows.columns, "group_size", "shard", "slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
-                    rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, size, text_crc32, shard, slot and group_size of every document; documents of equal text are linked."""
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
         (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("key"))
-    return balanced_shards(rows, shards, rounds).select(
+    return balanced_shards(rows, shards).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot", F.col("group_size").cast("long").alias("group_size"))
