@@ -581,3 +581,6 @@ ORACLE["evaluate_policies_job"] = f"""WITH {backtest()} SELECT policy, count(*)
   min(next_d) AS first_date, max(next_d) AS last_date, true AS has_intervals FROM results GROUP BY policy"""
 ORACLE["evaluate_products_job"] = f"""SELECT count(DISTINCT l_suppkey) AS n_products, true AS adds_up FROM lineitem
 WHERE l_shipdate > {VAL_END}"""
+ORACLE["panel_in_two_steps"] = ORACLE["daily_panel"]
+ORACLE["registry_with_arrivals"] = f"""WITH {tx('part')}, seen AS (SELECT p, min(d) <= {TRAIN_END} AS early FROM tx GROUP BY p)
+SELECT p AS product_id, CAST(row_number() OVER (ORDER BY early DESC, p) - 1 AS INTEGER) AS dense_id FROM seen"""

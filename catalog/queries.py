@@ -850,3 +850,23 @@ def evaluate_products_job(spark, sf):
     sums = csv.agg(F.count(F.lit(1)).alias("n_products"), F.sum(F.abs(profit)).alias("size"), F.sum(profit).alias("total"))
     return sums.crossJoin(portfolio).select(  # one row each
         "n_products", (F.abs(F.col("total") - F.col("total_agent_profit")) <= 1e-9 * F.col("size")).alias("adds_up"))
+
+
+@query
+def panel_in_two_steps(spark, sf):
+    """The panel built from the lines up to a date and then from all later ones and some late ones: as built at once."""
+    path, df = f"{shared_folder(spark)}/panel_parts", lines(spark, sf)
+    late = (F.col(DATE) > F.lit(SETTINGS.train_end)) | (F.col("QUANTITY") == 7)
+    tables.add_to_panel(spark, df.where(~late), path)
+    tables.add_to_panel(spark, df.where(late), path)
+    return _panel_columns(panel.finished_panel(tables.read_panel_parts(spark, path)))
+
+
+@query
+def registry_with_arrivals(spark, sf):
+    """Products of the training days first, then all others: old numbers stay."""
+    df, folder = standard_product_id(lines(spark, sf, "part")), shared_folder(spark)
+    tables.write_product_registry(registry.dense_ids(train_rows(df)), f"{folder}/first")
+    first = tables.read_product_registry(spark, f"{folder}/first")
+    tables.write_product_registry(registry.extended_ids(first, df), f"{folder}/second")
+    return tables.read_product_registry(spark, f"{folder}/second")

@@ -36,6 +36,27 @@ def daily_panel(transactions: DataFrame, products: DataFrame | None = None) -> D
     )
 
 
+def panel_parts(transactions: DataFrame) -> DataFrame:
+    """The panel before its mean: sum and number of line prices per product and day, so that parts of one day add up."""
+    return line_prices(transactions).groupBy(DATE, PRODUCT).agg(
+        F.sum("PRICE").alias("price_sum"), F.count("PRICE").alias("price_count"),
+        F.sum("QUANTITY").alias("total_units"), F.sum("SPEND").alias("total_sales"), F.min(WEEK).alias(WEEK))
+
+
+def merged_parts(*parts: DataFrame) -> DataFrame:
+    """One row per product and day from any number of `panel_parts`."""
+    union = parts[0]
+    for more in parts[1:]:
+        union = union.unionByName(more)
+    return union.groupBy(DATE, PRODUCT).agg(
+        *[F.sum(c).alias(c) for c in ("price_sum", "price_count", "total_units", "total_sales")], F.min(WEEK).alias(WEEK))
+
+
+def finished_panel(parts: DataFrame) -> DataFrame:
+    """The daily panel of merged parts."""
+    return parts.select(DATE, PRODUCT, F.try_divide("price_sum", "price_count").alias("avg_price"), "total_units", "total_sales", WEEK)
+
+
 def keep_products(df: DataFrame, products: DataFrame) -> DataFrame:
     """Rows of the listed products (semi join; adaptive execution broadcasts a small list)."""
     return df.join(products.select(PRODUCT), PRODUCT, "left_semi")

@@ -33,6 +33,14 @@ def dense_ids(df: DataFrame, column: str = PRODUCT_ID) -> DataFrame:
         column, (F.col("offset") + inside - 1).cast("int").alias("dense_id"))
 
 
+def extended_ids(registry: DataFrame, df: DataFrame, column: str = PRODUCT_ID) -> DataFrame:
+    """The registry with the ids of ``df`` it does not know, numbered after all it has; known ids keep their numbers."""
+    new = dense_ids(df.select(column).distinct().join(registry.select(column), column, "left_anti"), column)
+    after = registry.agg(F.coalesce(F.max("dense_id") + 1, F.lit(0))).scalar()
+    return registry.select(column, "dense_id").unionByName(
+        new.select(column, (F.col("dense_id") + after).cast("int").alias("dense_id")))
+
+
 def to_dense(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Replace raw product ids by dense ids."""
     return df.join(registry, PRODUCT_ID).drop(PRODUCT_ID)

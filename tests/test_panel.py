@@ -77,3 +77,26 @@ def test_first_products_are_ordered(spark):
     assert {r[0] for r in ops.first_products(df, 2).collect()} == {"A", "B"}
     kept = ops.keep_products(df, ops.first_products(df, 1))
     assert [r[PRODUCT] for r in kept.collect()] == ["A"] and kept.first()[DATE] == day(0)
+
+
+def test_days_and_late_lines_are_added_to_a_stored_panel(spark, tmp_path):
+    from pricetide.operators.panel import daily_panel, finished_panel
+    from pricetide.sources import tables
+    from pricetide.sources.transactions import transactions_from_lines
+
+    lines, path = transactions_from_lines(spark, "/root/testdata/sf0.001"), str(tmp_path / "parts")
+    cuts = [F.col("QUANTITY") % 3 == k for k in range(3)]
+    for cut in cuts:
+        tables.add_to_panel(spark, lines.where(cut), path)
+    got = finished_panel(tables.read_panel_parts(spark, path)).collect()
+    want = {(r.SHOP_DATE, r.PROD_CODE): r for r in daily_panel(lines).collect()}
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.SHOP_DATE, r.PROD_CODE]
+        assert (r.total_units, r.SHOP_WEEK) == (w.total_units, w.SHOP_WEEK)
+        assert abs(r.avg_price - w.avg_price) < 1e-6 and abs(r.total_sales - w.total_sales) < 1e-6
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "parts").rglob("*.parquet")}
+    day = lines.select("SHOP_DATE").orderBy("SHOP_DATE").first()[0]
+    tables.add_to_panel(spark, lines.where(F.col("SHOP_DATE") == day), path)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "parts").rglob("*.parquet")}
+    assert {f for f in before if after.get(f) != before[f]} == {f for f in before if str(day) in str(f)}

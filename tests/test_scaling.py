@@ -113,6 +113,13 @@ def test_registry_maps_both_ways(spark):
     assert {(r.product_id, r.v) for r in registry.to_raw(dense, ids).collect()} == {("b", 1), ("a", 2)}
 
 
+def test_known_ids_keep_their_numbers(spark):
+    old = registry.dense_ids(spark.createDataFrame([("m",), ("c",)], "product_id string"))
+    more = spark.createDataFrame([("a",), ("m",), ("z",), ("a",), (None,)], "product_id string")
+    assert {r.product_id: r.dense_id for r in registry.extended_ids(old, more).collect()} == {"c": 0, "m": 1, "a": 2, "z": 3}
+    assert {r.product_id: r.dense_id for r in registry.extended_ids(old.limit(0), more).collect()} == {"a": 0, "m": 1, "z": 2}
+
+
 def test_constants_default_to_zero(spark):
     df = panel(spark, [("A", 0, 1, 1), ("A", 1, 3, 5), ("B", 0, 9, 2)])
     constants = registry.product_constants(df.where("PROD_CODE = 'A'"))
