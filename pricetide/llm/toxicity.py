@@ -2,7 +2,7 @@
 
 A text's features are its distinct words and their beginnings (3 to 6 bytes), hashed. The weights are a logistic
 regression on the labelled rows with one more penalty: in labelled sentences that mention a group, the mention is
-swapped for every other one of the list, and the squared change of the score is added to the loss. A group's name
+swapped for every other one of its kind and number, and the squared change of the score is added to the loss. A group's name
 that happens to stand in many toxic examples so gets no weight of its own, and neutral mentions are not flagged.
 
 Learning: Spark counts each feature by label over a sample of at most `TRAIN_ROWS` labelled rows (by hash of
@@ -11,7 +11,8 @@ Scoring covers every row and whole texts, with numpy over Arrow batches and no s
 
 Edge cases: a null or empty text has no features and scores the model's base rate. Without labels of both classes
 the score is the share of toxic labels (0 without any). Repeated labels of an id count as the highest. Null ids and
-labels are never learned from. Extra columns are kept; those named like a result column are replaced by it.
+labels are never learned from. Extra columns are kept; those named like a result column,
+in any case, are replaced by it.
 """
 
 from __future__ import annotations
@@ -35,14 +36,33 @@ PREFIXES = (None, 3, 4, 5, 6)
 #: Chi-square of a feature against the labels below which it counts as noise.
 STRENGTH = 15.0
 
-#: Group mentions that may stand for each other, by language (words as they stand in a text, lower case).
+#: Group mentions by language (words as they stand in a text, lower case), in sets of one kind and number: a mention
+#: is swapped for the others of its set, so that the sentence stays one.
 IDENTITY_TERMS = {
-    "en": ("women", "men", "girls", "boys", "black", "white", "asian", "latino", "muslims", "muslim", "christians",
-           "christian", "jews", "jewish", "hindus", "buddhists", "atheists", "gay", "lesbian", "transgender",
-           "straight", "immigrants", "refugees", "disabled", "deaf", "blind", "elderly"),
-    "de": ("frauen", "muslime", "christen", "juden", "schwule", "lesben", "flüchtlinge", "behinderte", "ausländer"),
-    "fr": ("femmes", "musulmans", "chrétiens", "juifs", "homosexuels", "lesbiennes", "immigrés", "réfugiés"),
-    "es": ("mujeres", "musulmanes", "cristianos", "judíos", "homosexuales", "lesbianas", "inmigrantes", "refugiados"),
+    "en": (
+        ("women", "men", "girls", "boys"), ("woman", "man", "girl", "boy"),
+        ("black", "white", "asian", "latino", "hispanic", "african", "arab"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "atheists"),
+        ("muslim", "christian", "jewish", "jew", "hindu", "buddhist", "sikh", "atheist"),
+        ("gay", "lesbian", "bisexual", "transgender", "straight"), ("gays", "lesbians", "heterosexuals"),
+        ("immigrants", "refugees", "migrants", "foreigners"), ("immigrant", "refugee", "migrant", "foreigner"),
+        ("disabled", "deaf", "blind", "autistic"), ("elderly", "young"),
+    ),
+    "de": (
+        ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann"), ("muslime", "christen", "juden", "hindus", "atheisten"),
+        ("muslim", "christ", "jude", "atheist"), ("schwule", "lesben"), ("flüchtlinge", "ausländer", "einwanderer"),
+        ("behinderte", "gehörlose", "blinde"),
+    ),
+    "fr": (
+        ("femmes", "hommes", "filles", "garçons"), ("femme", "homme", "fille", "garçon"),
+        ("musulmans", "chrétiens", "juifs", "athées"), ("musulman", "chrétien", "juif", "athée"),
+        ("homosexuels", "lesbiennes"), ("immigrés", "réfugiés", "étrangers"), ("handicapés", "sourds", "aveugles"),
+    ),
+    "es": (
+        ("mujeres", "hombres", "chicas", "chicos"), ("mujer", "hombre", "chica", "chico"),
+        ("musulmanes", "cristianos", "judíos", "ateos"), ("musulmán", "cristiano", "judío", "ateo"),
+        ("homosexuales", "lesbianas"), ("inmigrantes", "refugiados", "extranjeros"), ("discapacitados", "sordos", "ciegos"),
+    ),
 }
 
 
@@ -81,19 +101,20 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-_MENTION = {lang: re.compile(rf"\b(?:{'|'.join(terms)})\b") for lang, terms in IDENTITY_TERMS.items()}
+_OTHERS = {lang: {term: [t for t in terms if t != term] for terms in sets for term in terms}
+           for lang, sets in IDENTITY_TERMS.items()}
+_MENTION = {lang: re.compile(rf"\b(?:{'|'.join(others)})\b") for lang, others in _OTHERS.items()}
 
 
 def _swapped(text: str) -> Iterator[tuple[str, str]]:
-    """(sentence, the sentence with one group mention swapped) for every mention and every other term."""
+    """(sentence, the sentence with one group mention swapped) for every mention and every other term of its set."""
     text = text.lower()
     for lang, mention in _MENTION.items():
         if mention.search(text):
             for sentence in re.split(r"[.!?\n]", text):
                 for term in dict.fromkeys(mention.findall(sentence)):
-                    for other in IDENTITY_TERMS[lang]:
-                        if other != term:
-                            yield sentence, re.sub(rf"\b{term}\b", other, sentence)
+                    for other in _OTHERS[lang][term]:
+                        yield sentence, re.sub(rf"\b{term}\b", other, sentence)
 
 
 def _as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     strength = (F.col("a") - expected) ** 2 / (expected * (1 - F.lit(bad / n)))
     best = [r[0] for r in ranked.withColumn("strength", strength).filter(F.col("strength") >= STRENGTH).orderBy(
         F.desc("strength"), "feature").select("feature").limit(vocabulary).collect()]
-    named = {word_hash(t, p) for terms in IDENTITY_TERMS.values() for t in terms for p in PREFIXES} - {0}
+    named = {word_hash(t, p) for others in _OTHERS.values() for t in others for p in PREFIXES} - {0}
     features = np.unique(np.concatenate([np.array(best, np.int64).view(np.uint64), np.array(sorted(named), np.uint64)]))
     signed = features.view(np.int64)
 
@@ -223,7 +244,7 @@ def _only(seen: DataFrame, signed: np.ndarray) -> DataFrame:
 def with_score(docs: DataFrame, model, text_col: str = "text", out: str = "score",
                keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all by default) and ``out``, the model's score of each whole text."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
     text = free_name(docs, "text_read")
     wide = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     schema = wide.drop(text).schema.add(out, "double")

@@ -112,6 +112,41 @@ def test_swaps_take_the_weight_off_group_names(spark):
     assert fair[0] < plain[0] and fair[0] < 0.5 < fair[1]
 
 
+def test_swaps_stay_within_a_kind_and_number():
+    pairs = list(toxicity._swapped("A woman came. The women met a Deaf man!"))
+    assert {b.strip() for a, b in pairs if a == "a woman came"} == {f"a {w} came" for w in ("man", "girl", "boy")}
+    second = {b.strip() for a, b in pairs if a != "a woman came"}
+    assert second == {f"the {w} met a deaf man" for w in ("men", "girls", "boys")} | {
+        f"the women met a {w} man" for w in ("disabled", "blind", "autistic")} | {
+        f"the women met a deaf {w}" for w in ("woman", "girl", "boy")}
+    for sets in toxicity.IDENTITY_TERMS.values():
+        terms = [t for terms in sets for t in terms]
+        assert len(terms) == len(set(terms))
+
+
+def test_scores_equal_those_of_words_one_by_one(spark):
+    import math
+    import re
+
+    from pricetide.llm.textbuf import word_hash
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["you", "fool", "Fool", "foolish", "café", "don't", "a1", "idiots", "x"]
+    known = sorted({word_hash(w, p) for w in ("fool", "foolish", "caf", "idiots", "x") for p in toxicity.PREFIXES} - {0})
+    model = toxicity.Model(np.array(known, np.uint64), rng.normal(size=len(known)), -0.3)
+    weight = dict(zip(known, model.weights))
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 9))) + "!" * int(rng.integers(0, 2)) for _ in range(200)]
+    texts += ["", None, "fool " * 100_000, "." * 50, "x" * 300_000]
+    docs = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)], "doc_id long, text string, SCORE double")
+    got = toxicity.with_score(docs, model)
+    assert [c.lower() for c in got.columns].count("score") == 1
+    for r in got.collect():
+        words = set(re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", r.text or ""))
+        found = {word_hash(re.sub("[A-Z]", lambda m: m[0].lower(), w), p) for w in words for p in toxicity.PREFIXES} - {0}
+        z = model.base + sum(weight.get(h, 0) for h in found)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_pooling_covers_every_window_whatever_the_slices():
     rng = np.random.default_rng(2)
     net = quality_net.Net(*(rng.normal(size=s).astype(np.float32) for s in (
