@@ -146,6 +146,7 @@ SELECT d AS "SHOP_DATE", p AS "PROD_CODE", total_units, wk AS "SHOP_WEEK", day_o
 
 ORACLE["feature_panel"] = feature_output("supplier")
 ORACLE["feature_panel_by_brand"] = feature_output("brand")
+ORACLE["feature_panel_in_blocks"] = ORACLE["feature_panel_by_brand"]
 
 # --- splits and scaling
 

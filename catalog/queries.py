@@ -220,6 +220,12 @@ def feature_panel_by_brand(spark, sf):
     return _feature_output(features.time_series_features(daily(spark, sf, "brand")))
 
 
+@query
+def feature_panel_in_blocks(spark, sf):
+    """The features of few products with long histories: windows over blocks of 256 rows."""
+    return _feature_output(features.time_series_features(materialize(daily(spark, sf, "brand")), 256))
+
+
 # --- splits and scaling ------------------------------------------------------------------------
 
 def feature_splits(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import panel, rows_by
@@ -62,3 +63,26 @@ def test_finite_or_zero(spark):
 def test_week_index_starts_on_monday(spark):
     week = lambda d: spark.range(1).select(calendar.period_index(F.lit(d), "week")).first()[0]
     assert week(dt.date(2008, 1, 6)) + 1 == week(dt.date(2008, 1, 7)) == week(dt.date(2008, 1, 13))
+
+
+def test_blocks_give_the_same_rows(spark):
+    sizes = {"A": 1, "B": 28, "C": 33, "D": 64, "E": 200, "F": 97, None: 40}
+    rows = [(p, d * (1 + (p or "x").count("F")) + d // 50 * 30, (d * 7 + len(p or "")) % 5 + 1, (d * d) % 11)
+            for p, n in sizes.items() for d in range(n)]
+    df = panel(spark, rows).withColumn("avg_price", F.when(F.col("total_units") != 4, F.col("avg_price")))
+    whole = features.time_series_features(df)
+    for block_rows, era_days in ((28, 10), (32, 45), (1000, 365)):
+        parts = features.time_series_features(df, block_rows, era_days)
+        assert [(f.name, f.dataType) for f in parts.schema] == [(f.name, f.dataType) for f in whole.schema]
+        key = lambda r: (str(r.PROD_CODE), r.SHOP_DATE)
+        for a, b in zip(sorted(parts.collect(), key=key), sorted(whole.collect(), key=key), strict=True):
+            assert repr(a) == repr(b)
+    assert features.time_series_features(df.limit(0), 32).count() == 0
+
+
+def test_blocks_are_dealt_with_the_rows_before_them(spark):
+    df = panel(spark, [("A", d, 3, d) for d in range(100)])
+    dealt = features._dealt(df, 40, 7).groupBy("__block").agg(F.sum(F.col("__own").cast("int")), F.count("*"))
+    assert {tuple(r) for r in dealt.collect()} == {(0, 40, 40), (1, 40, 68), (2, 20, 48), (3, 0, 8)}  # none follow the last 8
+    with pytest.raises(ValueError):
+        features.time_series_features(df, 27)
