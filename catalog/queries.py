@@ -863,8 +863,8 @@ def panel_in_two_steps(spark, sf):
     """The panel built from the lines up to a date and then from all later ones and some late ones: as built at once."""
     path, df = f"{shared_folder(spark)}/panel_parts", lines(spark, sf)
     late = (F.col(DATE) > F.lit(SETTINGS.train_end)) | (F.col("QUANTITY") == 7)
-    tables.add_to_panel(spark, df.where(~late), path)
-    tables.add_to_panel(spark, df.where(late), path)
+    tables.add_to_panel(spark, df.where(~late), path, "month")
+    tables.add_to_panel(spark, df.where(late), path, "month")
     return _panel_columns(panel.finished_panel(tables.read_panel_parts(spark, path)))
 
 
