@@ -1,6 +1,7 @@
 """Leaf-wise boosting against a plain grower in Python, and everything read off its trees."""
 
 import math
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -106,6 +107,35 @@ def test_the_same_trees_from_any_number_of_tasks(rows, model):
     assert len(model.trees) == 12 and max(len(t.values) for t in model.trees) == 7
 
 
+def test_the_same_trees_from_any_number_of_processes(rows, model):
+    for least in (40, 150, 1 << 15):  # four processes, two, one
+        assert same(model, boosting.fit(rows, FEATURES, "y", F.col("i"), OPTIONS, rows_a_process=least))
+
+
+def test_processes_add_up_and_a_failure_ends_them():
+    group = boosting._Processes(3, 8)
+    assert group.run(lambda place: [group.total(np.arange(6).reshape(2, 3) * (place + 1) + n).tolist() for n in range(5)]) == [
+        (np.arange(6).reshape(2, 3) * 6 + 3 * n).tolist() for n in range(5)]
+
+    def fails(place):
+        if place == 1:
+            raise ValueError("lost")
+        return group.total(np.zeros(2, np.int64))
+
+    group = boosting._Processes(2, 8)
+    with pytest.raises(threading.BrokenBarrierError):
+        group.run(fails)
+
+
+def test_more_than_a_million_rows_need_no_barrier(spark, monkeypatch):
+    """Beside a barrier each exchange takes a second: 2,000 trees would take hours."""
+    jobs, job = [], boosting._job
+    monkeypatch.setattr(boosting, "_job", lambda *args: jobs.append(args[3:5]) or job(*args))
+    many = spark.range(1_100_000).selectExpr("id i", "double(id % 9) a", "double(id % 9 + id % 2) y")
+    assert len(boosting.fit(many, ["a"], "y", F.col("i"), boosting.Options(rounds=1)).trees) == 1
+    assert jobs == [(1, 4)]
+
+
 def test_parts_of_rounds_give_the_same_trees(rows, model, monkeypatch):
     monkeypatch.setattr(boosting, "ROUNDS_A_JOB", 5)
     parts = boosting.fit(rows, FEATURES, "y", F.col("i"), OPTIONS)
