@@ -330,7 +330,7 @@ def sales_volatility(spark, sf):
 
 @query
 def avg_daily_revenue(spark, sf):
-    return registry.average_daily_revenue(daily(spark, sf)).select(PRODUCT, rounded("avg_daily_revenue", 4))
+    return registry.average_daily_revenue(daily(spark, sf), one_row_a_day=True).select(PRODUCT, rounded("avg_daily_revenue", 4))
 
 
 @query
@@ -632,8 +632,8 @@ def portfolio_summary(spark, sf):
 def sales_improvement(spark, sf):
     """Improvement in percent of test over training revenue per day; infinite without training sales."""
     df = daily(spark, sf, "part")
-    now = registry.average_daily_revenue(test_rows(df)).withColumnRenamed("avg_daily_revenue", "now")
-    before = registry.average_daily_revenue(train_rows(df)).withColumnRenamed("avg_daily_revenue", "before")
+    now = registry.average_daily_revenue(test_rows(df), one_row_a_day=True).withColumnRenamed("avg_daily_revenue", "now")
+    before = registry.average_daily_revenue(train_rows(df), one_row_a_day=True).withColumnRenamed("avg_daily_revenue", "before")
     joined = registry.attach_constants(now, before)
     gain = improvement_pct(F.col("now"), F.col("before"))
     return joined.select(PRODUCT, F.when(gain == float("inf"), True).otherwise(False).alias("is_new"),

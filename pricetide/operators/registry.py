@@ -73,9 +73,14 @@ def global_median_price(panel: DataFrame) -> DataFrame:
     return exact_quantiles(panel, ["avg_price"], [0.5]).select(F.col("quantiles")[0].alias("median_price"))
 
 
-def average_daily_revenue(panel: DataFrame, product: str = PRODUCT, sales: str = "total_sales") -> DataFrame:
-    """Sales per distinct day and product; 0 without a day. Any sales column can be given."""
-    days = F.count_distinct(DATE)
+def average_daily_revenue(panel: DataFrame, product: str = PRODUCT, sales: str = "total_sales",
+                          one_row_a_day: bool = False) -> DataFrame:
+    """Sales per distinct day and product; 0 without a day. Any sales column can be given.
+
+    Of a table with ``one_row_a_day`` and product, as `daily_panel` gives it, each row with a date is a day of its own:
+    then the days need no tables by product and day beside the panel's own in a task's memory.
+    """
+    days = F.count(DATE) if one_row_a_day else F.count_distinct(DATE)
     return panel.groupBy(product).agg(
         F.when(days > 0, F.sum(sales) / days).otherwise(0.0).alias("avg_daily_revenue"))
 

@@ -145,3 +145,16 @@ def test_scaled_training_columns_are_standard(spark):
     missing = preparation.scaled_split(split, stats, FEATURES).where("isnan(lag_28_units)")
     assert missing.count() == 56
     assert features.LAGS[-1] == 28
+
+
+def test_revenue_of_a_panel_keeps_no_second_table_of_days(spark):
+    from catalog.queries import QUERIES
+    from conftest import SMALLEST
+
+    df = panel(spark, [("A", 0, 2, 4), ("A", 1, 3, 2), ("B", 1, 5, 1)])
+    dateless = df.unionByName(df.where("PROD_CODE = 'B'").withColumn("SHOP_DATE", F.lit(None).cast("date")))
+    for one_row_a_day in (False, True):
+        found = registry.average_daily_revenue(dateless, one_row_a_day=one_row_a_day).collect()
+        assert {r.PROD_CODE: r.avg_daily_revenue for r in found} == {"A": 7.0, "B": 10.0}
+    plan = QUERIES["avg_daily_revenue"](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan and plan.split("Initial Plan")[-1].count("HashAggregate") == 4
