@@ -17,6 +17,11 @@ __all__ = ["documents", "free_name", "map_arrow", "materialize", "numbered", "sa
 #: Rows that one numbering bucket holds on average; a bucket is sorted in one task.
 BUCKET_ROWS = 1_000
 
+#: The session's bound on a batch of rows on their way to Python, and what it is set to where it is not given. By
+#: default batches grow to 64 MB, and each has buffers of up to twice its size in the executor and once more in Python.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "8m"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -50,8 +55,11 @@ _SHIPPED: set[str] = set()
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose tasks can import this package."""
-    ship(df.sparkSession)
+    """``mapInArrow`` whose tasks can import this package and get rows in batches of a few MB."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 

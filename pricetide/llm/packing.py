@@ -49,8 +49,10 @@ CAPACITY = 4096
 NODES = 20_000
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 400_000
-#: Bytes of text that are looked up at once.
-SPAN = 1 << 20
+#: Bytes of text that are looked up at once, at about 150 bytes of memory each.
+SPAN = 1 << 18
+#: Words that the tokenizer gets at once; what it returns takes about a kilobyte a word.
+ASKED = 1 << 11
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -224,9 +226,12 @@ class WordEncoder:
                 new = np.arange(len(keys))
                 made, where = np.unique(keys, return_index=True)
             pick = new[where]
-            words = [codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[pick].tolist(), ends[pick].tolist())]
-            for key, found in zip(made.tolist(), self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.table.add(key, found.ids)
+            for begin in range(0, len(pick), ASKED):
+                some = pick[begin:begin + ASKED]
+                words = [codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+                found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+                for key, word in zip(made[begin:begin + ASKED].tolist(), found):
+                    self.table.add(key, word.ids)
             number[new] = self.table.find(keys[new])
         return number
 

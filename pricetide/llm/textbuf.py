@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are looked at once, at about 100 bytes of memory each.
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -45,7 +46,7 @@ def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:
     """base**0 to base**(n-1) modulo 2**64, kept between calls up to 4 million."""
     have = known.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = 1 << max(16, (n - 1).bit_length())
         have = np.full(size, base, _U)
         have[0] = 1
         have = np.cumprod(have, dtype=_U)

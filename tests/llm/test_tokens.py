@@ -7,11 +7,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from pricetide.llm import bpe, packing, token_files
+from pricetide.llm.common import map_arrow
 
 CODEC = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
 WORDS = P.path("word_bpe_49k.json")
@@ -265,3 +267,29 @@ def test_word_ids_equal_the_library():
     for _ in range(400):
         text = "".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 10, 60])))
         assert ids_of(own.encode(text)) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_go_to_the_tokenizer_in_bounded_numbers(monkeypatch):
+    encoder = packing.WordEncoder(WORDS)
+    asked, library = [], encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, words, **options):
+            asked.append(len(words))
+            return library.encode_batch_fast(words, **options)
+
+    encoder.tokenizer = Counting()
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(9000))
+    ids = np.frombuffer(encoder.encode(text), np.uint32).tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert sum(asked) == 9000 and max(asked) <= packing.ASKED
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    long = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) text")
+    found = [r.n for r in map_arrow(long, sizes, "n long").collect()]
+    assert sum(found) >= 40_000_000 and max(found) <= 10_000_000
