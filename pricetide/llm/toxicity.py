@@ -6,7 +6,8 @@ swapped for every other one of its kind and number, and the squared change of th
 that happens to stand in many toxic examples so gets no weight of its own, and neutral mentions are not flagged.
 
 Learning: Spark counts each feature by label over a sample of at most `TRAIN_ROWS` labelled rows (by hash of
-the id) and ranks them; the driver gets the best `VOCABULARY` features and the sample in terms of these.
+the id) and ranks them; the driver gets the best `VOCABULARY` features and the sample in terms of these, packed by the
+tasks as 32-bit numbers.
 Scoring covers every row and whole texts, with numpy over Arrow batches and no shuffle.
 
 Edge cases: a null or empty text has no features and scores the model's base rate. Without labels of both classes
@@ -32,6 +33,8 @@ from pricetide.llm.textbuf import punctuated, slices, word_hash
 TRAIN_ROWS = 20_000
 VOCABULARY = 4_096
 PAIRS = 20_000
+#: Entries of the training lists that are added up at once.
+ENTRIES = 1 << 18
 PREFIXES = (None, 3, 4, 5, 6)
 #: Chi-square of a feature against the labels below which it counts as noise.
 STRENGTH = 15.0
@@ -159,24 +162,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
+def _entries(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(list, number) of every number in the lists."""
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), list(map(len, lists)))
+    return row, np.concatenate([*lists, np.zeros(0, np.int32)], dtype=np.int32, casting="unsafe")
+
+
+def _added(to: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The sums of ``values[of]`` by ``to``, over some entries at a time."""
+    out = np.zeros(n)
+    for at in range(0, len(to), ENTRIES):
+        out += np.bincount(to[at:at + ENTRIES], values[of[at:at + ENTRIES]], n)
+    return out
+
+
 def fit(lists: list[np.ndarray], toxic: np.ndarray, own: list[np.ndarray], other: list[np.ndarray], n: int,
         ridge: float = 2e-5, fairness: float = 1.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights of ``n`` features and the base: logistic loss, ridge, and the squared change under swaps (Adam)."""
-    row = np.repeat(np.arange(len(lists)), list(map(len, lists)))
-    col = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    p_row = np.repeat(np.arange(len(own) * 2) % max(1, len(own)), [*map(len, own), *map(len, other)])
-    p_col = np.concatenate([*own, *other]) if own else np.zeros(0, np.int64)
-    sign = np.repeat([-1.0, 1.0], [sum(map(len, own)), sum(map(len, other))])
+    row, col = _entries(lists)
+    own_row, own_col = _entries(own)
+    other_row, other_col = _entries(other)
     w, share = np.zeros(n + 1), np.clip(toxic.mean(), 1e-3, 1 - 1e-3)
     w[n] = np.log(share / (1 - share))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        z = w[n] + np.bincount(row, w[col], len(lists))
+        z = w[n] + _added(row, w, col, len(lists))
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic) / len(lists)
-        g = np.append(np.bincount(col, error[row], n) + ridge * w[:n], error.sum())
+        g = np.append(_added(col, error, row, n) + ridge * w[:n], error.sum())
         if len(own):
-            change = np.bincount(p_row, sign * w[p_col], len(own))
-            g[:n] += 2 * fairness / len(own) * np.bincount(p_col, sign * change[p_row], n)
+            change = _added(other_row, w, other_col, len(own)) - _added(own_row, w, own_col, len(own))
+            g[:n] += 2 * fairness / len(own) * (_added(other_col, change, other_row, n) - _added(own_col, change, own_row, n))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return w[:n], float(w[n])
@@ -206,39 +221,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.desc("strength"), "feature").select("feature").limit(vocabulary).collect()]
     named = {word_hash(t, p) for others in _OTHERS.values() for t in others for p in PREFIXES} - {0}
     features = np.unique(np.concatenate([np.array(best, np.int64).view(np.uint64), np.array(sorted(named), np.uint64)]))
-    signed = features.view(np.int64)
-
-    def in_terms(values) -> np.ndarray:
-        values = np.asarray(values, np.int64).view(np.uint64)
-        place = np.minimum(np.searchsorted(features, values), len(features) - 1)
-        return place[features[place] == values]
-
-    held = _only(seen, signed).toPandas()
+    held = in_terms(seen.select("features", "toxic"), features, 1).toPandas()
     pairs = map_arrow(texts, _as_pairs, "own array<long>, other array<long>").distinct()
-    pairs = sampled(pairs, ["own", "other"], PAIRS).toPandas()
-    weights, base = fit([in_terms(x) for x in held["features"]], held["toxic"].to_numpy(float),
-                        [in_terms(x) for x in pairs["own"]], [in_terms(x) for x in pairs["other"]], len(features),
-                        fairness=fairness)
+    pairs = in_terms(sampled(pairs, ["own", "other"], PAIRS), features, 2).toPandas()
+    lists = lambda column: [np.frombuffer(x, np.int32) for x in column]
+    weights, base = fit(lists(held["features"]), held["toxic"].to_numpy(float), lists(pairs["own"]), lists(pairs["other"]),
+                        len(features), fairness=fairness)
     return Model(features, weights, base)
 
 
-def _only(seen: DataFrame, signed: np.ndarray) -> DataFrame:
-    """``seen`` with the lists cut to the vocabulary, in the tasks: the driver gets those alone."""
+def in_terms(frame: DataFrame, features: np.ndarray, lists: int) -> DataFrame:
+    """``frame`` with its first ``lists`` columns, lists of features, as the places of these in ``features``.
 
-    ordered = np.sort(signed)
+    Places are packed as 32-bit numbers, and features that are not there are left out, in the tasks: the driver gets a
+    few bytes a feature and no object for each.
+    """
+    names = frame.columns
+    schema = ", ".join(f"{c} binary" if i < lists else f"{c} {frame.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+
+    def packed(column) -> pa.Array:
+        values = column.flatten().to_numpy().view(np.uint64)
+        place = np.minimum(np.searchsorted(features, values), len(features) - 1)
+        kept = features[place] == values
+        ends = np.concatenate([[0], np.cumsum(kept)])[np.cumsum([0, *column.value_lengths().to_pylist()])]
+        body = place[kept].astype(np.int32)
+        return pa.array([body[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            values = column.flatten().to_numpy()
-            ends = np.cumsum([0, *column.value_lengths().to_pylist()])
-            kept = ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-            left = np.concatenate([[0], np.cumsum(kept)])[ends]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(left, pa.int32()), pa.array(values[kept]))],
-                names=["toxic", "features"])
+                [packed(c) if i < lists else c for i, c in enumerate(batch.columns)], names=names)
 
-    return map_arrow(seen, run, "toxic double, features array<long>")
+    return map_arrow(frame, run, schema)
 
 
 def with_score(docs: DataFrame, model, text_col: str = "text", out: str = "score",

@@ -160,6 +160,17 @@ def test_pooling_covers_every_window_whatever_the_slices():
     np.testing.assert_allclose(pooled, [response[:506].max(0), response[506:1012].max(0), response[1012:].max(0)], rtol=1e-5)
 
 
+def test_the_driver_learns_toxicity_from_packed_lists(spark, monkeypatch):
+    known = np.sort(np.array([7, 9, 1 << 63, 12], np.uint64))
+    frame = spark.createDataFrame([([9, 5, 7, 9 - (1 << 63)], 1.0), ([], 0.0), ([-(1 << 63)], 2.0)], "a array<long>, b double")
+    got = {r.b: np.frombuffer(r.a, np.int32).tolist() for r in toxicity.in_terms(frame, known, 1).collect()}
+    assert got == {1.0: [1, 0], 0.0: [], 2.0: [3]}
+    frames, whole = [], type(frame).toPandas
+    monkeypatch.setattr(type(frame), "toPandas", lambda self: frames.append(self) or whole(self))
+    toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(frames) == 2 and not any("array" in kind for f in frames for _, kind in f.dtypes)
+
+
 PAGES = {
     "plain": ('<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav>'
               "<article><h1>A title</h1><p><b>One, two.<br><p>Three &amp; four</article><footer>&copy; x</footer>",
