@@ -8,8 +8,9 @@ by their number of windows, give the document's one probability.
 
 Learning runs in numpy on the driver, over at most `TRAIN_ROWS` labelled documents of each label (by hash of the id)
 and all chunks of each; a document's chunks share its weight. Scoring covers every row and every byte, over Arrow
-batches, without a shuffle. Responses are made for at most `SLICE` window starts at a time: a longer text is taken in
-parts of whole chunks, whose sums are carried, so memory does not grow with the text beyond the text itself.
+batches, without a shuffle. At most `SLICE` bytes are taken at a time, and responses made for `BLOCK` window starts: a
+longer text is taken in parts of whole chunks, whose sums are carried, so memory does not grow with the text beyond the
+text itself.
 
 Edge cases: a null or empty text is one window of padding. Without labels of both classes the score is the share of
 good labels (1/2 without any). Repeated labels of an id count as the lowest. Null ids and labels are never learned
@@ -36,8 +37,10 @@ HIDDEN = 16
 WINDOWS = 506
 TRAIN_ROWS = 1_500
 EPOCHS = 8
-#: Window starts scored at a time: responses take 4 * FILTERS bytes each.
+#: Bytes of text taken at a time.
 SLICE = 1 << 17
+#: Window starts whose responses are held at once, of 4 * FILTERS bytes each.
+BLOCK = 1 << 11
 
 _CHUNK = WINDOWS + WIDTH - 1
 
@@ -65,15 +68,40 @@ class Net:
         padded[np.repeat(begin, sizes) + np.arange(len(body)) - np.repeat(at[:-1], sizes)] = body
         if len(after):
             padded[len(padded) - WIDTH + 1:len(padded) - WIDTH + 1 + len(after)] = after
-        windows = np.repeat(begin, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        response = self.tables[0][padded[windows]]
-        for j in range(1, WIDTH):
-            response += self.tables[j][padded[windows + j]]
         chunks = -(-lengths // WINDOWS)
         text = np.repeat(np.arange(len(lengths)), chunks)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        starts = np.repeat(np.cumsum(lengths) - lengths, chunks) + nth * WINDOWS
-        return np.maximum.reduceat(response, starts, axis=0), np.minimum(WINDOWS, lengths[text] - nth * WINDOWS), text
+        windows = np.minimum(WINDOWS, lengths[text] - nth * WINDOWS)
+        starts = begin[text] + nth * WINDOWS
+        return self._largest(padded, starts, starts + windows), windows, text
+
+    def _largest(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The largest responses to the windows from each start to its end, which follow one another.
+
+        Responses are made for `BLOCK` window starts at a time, in two buffers that stay in the processor's cache; a
+        chunk that lies in several blocks has the largest of its parts.
+        """
+        total = int(ends[-1])
+        cuts = np.unique(np.concatenate([starts, ends[:-1], np.arange(0, total, BLOCK)]))
+        edges = np.searchsorted(cuts, np.arange(0, total + BLOCK, BLOCK))
+        parts = np.empty((len(cuts), FILTERS), np.float32)
+        made, more = (np.empty((min(BLOCK, total), FILTERS), np.float32) for _ in range(2))
+        for at, low, high in zip(range(0, total, BLOCK), edges[:-1], edges[1:]):
+            n = min(BLOCK, total - at)
+            response, other = made[:n], more[:n]
+            np.take(self.tables[0], padded[at:at + n], axis=0, out=response, mode="clip")
+            for j in range(1, WIDTH):
+                np.take(self.tables[j], padded[at + j:at + j + n], axis=0, out=other, mode="clip")
+                response += other
+            parts[low:high] = np.maximum.reduceat(response, cuts[low:high] - at, axis=0)
+        # Between two texts lie windows over both: the parts after a chunk's end that are no chunk's.
+        bounds = np.searchsorted(cuts, np.stack([starts, ends], 1).ravel())
+        if bounds[-1] == len(parts):
+            bounds = bounds[:-1]
+        found = np.maximum.reduceat(parts, bounds, axis=0)
+        own = np.zeros(len(bounds), bool)
+        own[::2] = True
+        return found[own]
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         active = np.maximum(pooled + self.bias, 0)

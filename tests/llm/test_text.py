@@ -160,6 +160,29 @@ def test_pooling_covers_every_window_whatever_the_slices():
     np.testing.assert_allclose(pooled, [response[:506].max(0), response[506:1012].max(0), response[1012:].max(0)], rtol=1e-5)
 
 
+def test_responses_are_held_for_a_block_of_windows_only():
+    net, rng = some_net(), np.random.default_rng(3)
+    sizes = [0, 1, 3, 505, 506, 507, 2043, 2048, 2049, 5000, 0, 30_000, 0, 60_000, 2]
+    at = np.cumsum([0, *sizes])
+    body = rng.integers(0, 256, at[-1], dtype=np.uint8)
+    tracemalloc.start()
+    pooled, windows, text = net.pooled(body, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6  # all responses at once take 9.6 MB twice
+    rows = iter(zip(pooled, windows.tolist(), text.tolist()))
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+        padded = np.concatenate([body[a:b], np.zeros(quality_net.WIDTH, np.uint8)])
+        n = max(1, b - a)
+        response = net.tables[0][padded[:n]]
+        for j in range(1, quality_net.WIDTH):
+            response = response + net.tables[j][padded[j:j + n]]
+        for k in range(0, n, quality_net.WINDOWS):
+            got, count, of = next(rows)
+            assert np.array_equal(got, response[k:k + quality_net.WINDOWS].max(0))
+            assert (count, of) == (min(quality_net.WINDOWS, n - k), i)
+
+
 def test_the_driver_learns_toxicity_from_packed_lists(spark, monkeypatch):
     known = np.sort(np.array([7, 9, 1 << 63, 12], np.uint64))
     frame = spark.createDataFrame([([9, 5, 7, 9 - (1 << 63)], 1.0), ([], 0.0), ([-(1 << 63)], 2.0)], "a array<long>, b double")
