@@ -2,6 +2,8 @@
 
 import math
 import threading
+import time
+import zlib
 from dataclasses import replace
 
 import numpy as np
@@ -222,3 +224,46 @@ def test_constant_target_and_constant_features(spark):
     assert {r.p for r in flat.withColumn("p", boosting.scores(model, [F.col("a")])).collect()} == {7.0}
     absent = spark.createDataFrame([(i, None, float(i)) for i in range(60)], "i long, a double, y double")
     assert boosting.fit(absent, ["a"], "y", F.col("i"), boosting.Options(rounds=2)).base == 29
+
+
+def test_tasks_with_a_shared_folder_do_not_wait_for_the_barrier(rows, model):
+    """Twelve trees in three tasks: by the barrier alone, a second an exchange, they took two minutes."""
+    begin = time.monotonic()
+    assert same(model, boosting.fit(rows, FEATURES, "y", F.col("i"), OPTIONS, rows_a_task=150))
+    assert time.monotonic() - begin < 45
+
+
+def test_a_file_half_written_is_not_read(tmp_path):
+    """The turn is new, but its size, checksum and counts are still those of the turn before last."""
+    group = boosting._Group(1)
+    group.size, group.context, group.name, group.place = 2, "two tasks", str(tmp_path / "x"), 0
+    path, body = tmp_path / "x-1-1", b"<i1" + bytes([1, 2])
+    old = boosting._HEAD.pack(1, len(body), zlib.crc32(body, 1)) + body
+    path.write_bytes(boosting._HEAD.pack(3, 0, 0)[:8] + old[8:])
+    group.turn = 3
+    new = b"<i1" + bytes([5, 6])
+    timer = threading.Timer(0.3, lambda: path.write_bytes(boosting._HEAD.pack(3, len(new), zlib.crc32(new, 3)) + new))
+    timer.start()
+    assert group._told(str(path)).tolist() == [5, 6]
+
+
+def test_counts_kept_over_turned_signs_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    codes = np.stack([rng.integers(0, n, 3000) for n in (62, 62, 7, 2, 31)]).astype(np.uint8)
+    codes[0][rng.uniform(size=3000) < 0.1] = boosting.MISSING
+    trainer = boosting.Trainer(boosting._Group(1), codes, rng.normal(size=3000), np.arange(3000, dtype=np.uint32), OPTIONS)
+    for few in (1, 1 << 13):  # in sets of features, and row by row
+        monkeypatch.setattr(boosting, "FEW", few)
+        trainer._sign(residual := rng.normal(size=3000).round())
+        for found, rows in ((trainer.everything, np.arange(3000)), (trainer._histogram(np.arange(0, 3000, 7)), np.arange(0, 3000, 7))):
+            for f in range(5):
+                assert found[0, f].tolist() == np.bincount(codes[f][rows], minlength=64).tolist()
+                assert found[1, f].tolist() == np.bincount(codes[f][rows], -np.sign(residual[rows]), 64).tolist()
+
+
+def test_prices_are_answered_over_the_bins_that_are_asked(model, monkeypatch):
+    """Step functions over all bins, for every row, took most of the time of a price query."""
+    codes = model.codes(np.array([r[1:4] for r in sample(60)]).T)
+    whole = model.response(codes, 0)
+    assert np.allclose(whole[:, 20:31], model.response(codes, 0, 20, 30))
+    assert np.allclose(whole[:, 40], model.score(np.concatenate([np.full((1, 60), 40, np.uint8), codes[1:]])))
